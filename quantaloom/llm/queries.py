@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quantaloom.llm import bpe, contamination
+from quantaloom.llm import bpe, contamination, pii
 from quantaloom.runtime import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -22,6 +22,11 @@ def op3_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op5_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: run for name, run in globals().items() if name.startswith("op")}
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quantaloom.llm import bpe, contamination, pii
+from quantaloom.llm import bpe, contamination, pii, quality
 from quantaloom.runtime import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -27,6 +27,11 @@ def op5_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op6_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: run for name, run in globals().items() if name.startswith("op")}
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -43,3 +44,10 @@ def cut(frame: DataFrame) -> DataFrame:
     """Materialise a frame in the shared checkpoint folder and cut its lineage there."""
     checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def save(frame: DataFrame) -> DataFrame:
+    """Write a frame as compressed Parquet into the shared checkpoint folder and read it back: its lineage ends there."""
+    path = f"{checkpoint_dir(frame.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    frame.write.option("compression", "zstd").parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

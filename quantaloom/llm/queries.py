@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quantaloom.llm import bpe, contamination, pii, quality
+from quantaloom.llm import bpe, contamination, neardup, pii, quality
 from quantaloom.runtime import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -21,16 +21,17 @@ def op3_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-
 def op5_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
-
 def op6_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.decide(table(spark, sf_dir, "documents"))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: run for name, run in globals().items() if name.startswith("op")}

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 #: Words up to so many bytes are hashed in bulk, longer ones one by one.
 LONG_WORD = 256
@@ -96,3 +97,23 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, lower: boo
         hashes = mix(hashes + lengths.astype(np.uint64))
         hashes[hashes == 0] = 1
     return start, end, hashes, np.searchsorted(start, offsets)
+
+
+def portion(total: int, least: int) -> int:
+    """Bytes of text behind one shard or bucket: fixed for small corpora, growing with the root of large ones.
+
+    So a shard's share of a bucket, which travels as one packed value, never shrinks to single entries.
+    """
+    return max(least, min(int((total * 600) ** 0.5), 256 << 20))
+
+
+def packed_texts(docs):
+    """doc_id and zstd-compressed text of (doc_id, text): what is shuffled of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            for piece in pieces(batch, 1, 1 << 20):
+                yield pa.record_batch([piece.column(0), pa.array([pack(text.as_buffer()) for text in piece.column(1)], pa.binary())], ["doc_id", "text"])
+
+    return docs.mapInArrow(run, "doc_id long, text binary")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quantaloom.llm import bpe, contamination, neardup, pii, quality, substrings
+from quantaloom.llm import bpe, contamination, lmscore, neardup, pii, quality, substrings
 from quantaloom.runtime import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -37,6 +37,11 @@ def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.decide(table(spark, sf_dir, "documents"))
 
 
+def op10_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return lmscore.score(table(spark, sf_dir, "documents"), target)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: run for name, run in globals().items() if name.startswith("op")}
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quantaloom.llm import bpe, contamination, lmscore, neardup, pii, quality, sharding, substrings
+from quantaloom.llm import bpe, contamination, html, lmscore, neardup, pii, quality, sharding, substrings
 from quantaloom.runtime import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -17,6 +17,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op1_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quantaloom.llm import bpe, contamination, html, lmscore, neardup, pii, quality, sharding, substrings
+from quantaloom.llm import bpe, contamination, html, licenses, lmscore, neardup, pii, quality, sharding, substrings
 from quantaloom.runtime import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -37,6 +37,10 @@ def op6_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_trained_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op8_balanced_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 

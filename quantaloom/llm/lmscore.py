@@ -37,7 +37,7 @@ from quantaloom.runtime import save, ship
 
 #: Weight of the bigram term.
 LAMBDA = 0.6
-SHARD = 24 << 20
+SHARD = 8 << 20
 
 _LISTED = "bucket long, shard long, data binary"
 _TOTALS = "shard long, bucket long, data binary, words long, target long, background long"

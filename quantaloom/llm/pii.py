@@ -4,9 +4,11 @@ Base spans are the fixed kinds email, ip, card and phone. Beyond them, corpus
 co-occurrence estimates how strongly a term gives a protected entity (the value of a
 base span) away: over all documents, n(t) documents hold term t, n(t, e) of them hold it
 within CONTEXT code points of entity e, and the disclosure of e by t is
-log2(p(e | t) / p(e)). Terms that stand beside one entity in at least SUPPORT
-different contexts, name it with p(e | t) >= SHARE and disclose at least BITS
-are spans of kind `term` wherever they occur. Sanitising replaces every span by
+log2(p(e | t) / p(e)). A term counts if it stands beside one entity in at least
+SUPPORT independent contexts, names it with p(e | t) >= SHARE (among the contexts of
+entities and among all documents) and discloses at least BITS. Contexts are as many as
+the inverse of the chance that two of them agree in the term's company, so copies and
+near copies of one text are one context. Such terms are spans of kind `term` wherever they occur. Sanitising replaces every span by
 its kind in brackets; overlapping spans merge into one under the first kind.
 
 Patterns are written so that Java's matcher neither recurses nor rescans: runs
@@ -134,6 +136,20 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]++"), lambda x: F.length(x) >= 3))
 
 
+def _company(context: Column) -> Column:
+    """Each term of a context with its company: a hash of the two other terms of least hash.
+
+    Near copies of one text mostly keep a term's company, independent texts do not.
+    """
+
+    def with_company(terms: Column) -> Column:
+        ranked = F.sort_array(F.transform(terms, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("term"))))
+        few = F.slice(ranked, 1, 3)
+        return _let(few, lambda low: F.transform(terms, lambda x: F.struct(x.alias("term"), F.xxhash64(F.transform(F.slice(F.filter(low, lambda y: y["term"] != x), 1, 2), lambda y: y["term"])).alias("company"))))
+
+    return _let(_terms(context), with_company)
+
+
 def disclosing(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, bits: float = BITS) -> DataFrame:
     """The terms that give an entity away: term, entity, n_both, n_term, bits. Counts cover all documents."""
     # Contexts of entities first: one row for each entity in each distinct context.
@@ -150,11 +166,14 @@ def disclosing(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, bi
         entity = F.lower(F.substring(text, (x["s"] + 1).cast("int"), (x["e"] - x["s"]).cast("int")))
         return F.struct(entity.alias("entity"), F.concat_ws(" ", before, after).alias("context"))
 
-    beside = spans.select(F.xxhash64("text").alias("h"), F.explode(F.transform("_b_all", around)).alias("c"))
-    pairs = beside.select("h", F.col("c.entity").alias("entity"), F.xxhash64("c.context").alias("context"), F.explode(_terms(F.col("c.context"))).alias("term"))
-    # one row for each (entity, term, context) and then counts of contexts: partial aggregates, so hot entities meet no single task
-    once = pairs.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
-    candidates = once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n_both")).where(F.col("contexts") >= support)
+    beside = spans.select(F.explode(F.transform("_b_all", around)).alias("c"))
+    pairs = beside.select(F.col("c.entity").alias("entity"), F.explode(_company(F.col("c.context"))).alias("t")).select("entity", "t.term", "t.company")
+    # one row for each (entity, term, company) and then sums: partial aggregates, so hot entities meet no single task
+    once = pairs.groupBy("entity", "term", "company").agg(F.count(F.lit(1)).alias("n"))
+    seen = once.groupBy("term").agg(F.sum("n").alias("n_beside"))
+    n = F.col("n").cast("double")
+    both = once.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), (F.sum(n) * F.sum(n) / F.sum(n * n)).alias("contexts"))
+    candidates = both.where(F.col("contexts") >= support).join(seen, "term").where(F.col("n_both") >= F.lit(share) * F.col("n_beside"))
     candidates = cut(candidates)
     size = candidates.count()
     wanted = candidates.select("term").distinct()

@@ -66,13 +66,15 @@ def corpus():
     rows = [(i, " ".join(rng.choices(words, k=40))) for i in range(200)]
     for i in range(200, 206):
         rows.append((i, f"{' '.join(rng.choices(words, k=10))} Zebulon wrote zeb@x.org {' '.join(rng.choices(words, k=10))}"))
+    copied = f"{' '.join(rng.choices(words, k=10))} Quixote asked qui@x.org {' '.join(rng.choices(words, k=10))}"
+    rows += [(210 + i, copied + f" {words[i]}") for i in range(20)]  # near copies are one context
     return [*rows, (300, "only zebulon here"), (301, None)]
 
 
 def test_terms_disclose(spark):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string")
     terms = {r["term"] for r in pii.disclosing(docs).collect()}
-    assert "zebulon" in terms and terms <= {"zebulon", "wrote"}
+    assert "zebulon" in terms and terms <= {"zebulon", "wrote"}, terms
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
     assert clean[300] == "only [TERM] here" and clean[301] is None and clean[0] == corpus()[0][1]
     assert "[TERM] [TERM] [EMAIL]" in clean[200] and len(clean) == len(corpus())

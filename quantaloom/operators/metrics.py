@@ -92,29 +92,40 @@ def top_k(capture: DataFrame, k: int) -> DataFrame:
     return kept.select("pos", "target", F.transform("t", lambda x: x["id"]).alias("ids"), F.transform("t", lambda x: -x["v"]).alias("logits"), "lse")
 
 
-def nearest_rank(sorted_values: Column, q: float) -> Column:
-    """The value at round((n - 1) q), halves away from zero."""
-    return F.get(sorted_values, F.floor((F.size(sorted_values) - 1) * F.lit(q) + 0.5).cast("int"))
+#: Half the band of ranks around a quantile that is looked at exactly.
+BAND = 0.002
 
 
-def kl_stats(rows: DataFrame, *by: str) -> DataFrame:
-    """n, mean, median, p90, p99, max, rms, top1, perplexities of `divergence` rows, by group.
+def quantiles(rows: DataFrame, value: str, points: dict[str, float], *by: str) -> DataFrame:
+    """Exact nearest-rank quantiles (rank round((n - 1) q), halves up) by group, one column per point.
 
-    Quantiles are of nearest rank: a rank over the group and the few rows that stand there, so no
-    group is gathered into one value.
+    A sketch bounds each quantile by a narrow band; rows under the band are counted, and only those
+    inside it, some thousandths of a group, are ranked. No group is sorted or gathered as a whole.
     """
     from pyspark.sql import Window
 
-    keys = list(by) or ["_all"]
-    rows = rows if by else rows.withColumn("_all", F.lit(0))
-    n = rows.groupBy(*keys).agg(
+    bands = [F.percentile_approx(value, [max(q - BAND, 0.0), min(q + BAND, 1.0)], 10_000).alias(f"_b{i}") for i, q in enumerate(points.values())]
+    bounds = rows.groupBy(*by).agg(F.count(value).alias("_n"), *bands)
+    # as many rows as groups
+    near = rows.join(F.broadcast(bounds), list(by)) if by else rows.crossJoin(F.broadcast(bounds))
+    under = near.groupBy(*by).agg(*(F.count_if(F.col(value) < F.col(f"_b{i}")[0]).alias(f"_u{i}") for i in range(len(points))), F.max("_n").alias("_n"))
+    inside = F.array(*(F.when(F.col(value).between(F.col(f"_b{i}")[0], F.col(f"_b{i}")[1]), F.lit(i)) for i in range(len(points))))
+    some = near.select(*by, value, F.explode(F.array_compact(inside)).alias("_i"))
+    ranked = some.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_i").orderBy(value)) - 1)
+    joined = ranked.join(F.broadcast(under), list(by)) if by else ranked.crossJoin(F.broadcast(under))
+    target = lambda q: F.floor((F.col("_n") - 1) * F.lit(q) + 0.5)
+    return joined.groupBy(*by).agg(*(F.max(F.when((F.col("_i") == i) & (F.col("_r") + F.col(f"_u{i}") == target(q)), F.col(value))).alias(name) for i, (name, q) in enumerate(points.items())))
+
+
+def kl_stats(rows: DataFrame, *by: str) -> DataFrame:
+    """n, mean, median, p90, p99, max, rms, top1, perplexities of `divergence` rows, by group; quantiles of nearest rank."""
+    n = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg("kl").alias("mean"), F.max("kl").alias("max"), F.sqrt(F.avg(F.col("kl") * F.col("kl"))).alias("rms"), F.avg(F.col("same_top").cast("double")).alias("top1"),
         F.exp(-F.avg("lp_ref")).alias("ppl_ref"), F.exp(-F.avg("lp_cand")).alias("ppl_cand"),
     )
-    ranked = rows.select(*keys, "kl", (F.row_number().over(Window.partitionBy(*keys).orderBy("kl")) - 1).alias("_r"), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_n"))
-    at = lambda q: F.max(F.when(F.col("_r") == F.floor((F.col("_n") - 1) * F.lit(q) + 0.5), F.col("kl")))
-    points = ranked.groupBy(*keys).agg(at(0.5).alias("median"), at(0.9).alias("p90"), at(0.99).alias("p99"))
-    return n.join(points, keys).select(*by, "n", "mean", "median", "p90", "p99", "max", "rms", "top1", "ppl_ref", "ppl_cand")
+    points = quantiles(rows, "kl", {"median": 0.5, "p90": 0.9, "p99": 0.99}, *by)
+    both = n.join(points, list(by)) if by else n.crossJoin(F.broadcast(points))
+    return both.select(*by, "n", "mean", "median", "p90", "p99", "max", "rms", "top1", "ppl_ref", "ppl_cand")
 
 
 def ppl_delta(ref: Column, ref_err: Column, cand: Column, cand_err: Column) -> Column:

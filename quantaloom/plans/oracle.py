@@ -182,6 +182,14 @@ def _fallback(table: str, extra: str) -> str:
     return f"""{table}, f AS (SELECT t.*, cols % g.block <> 0 AS fell_back, CASE WHEN cols % g.block = 0 THEN target WHEN cols % h.block = 0 THEN g.primary_id ELSE 1 END AS actual_id FROM t JOIN formats g ON g.type_id = target JOIN formats h ON h.type_id = g.primary_id) {extra}"""
 
 
+def _embedding_curves() -> str:
+    rungs = ("Q2_0", "Q4_0", "Q4_1", "Q5_0", "Q5_1", "Q8_0")
+    one = lambda n: f"SELECT * FROM (WITH {coded(n)} SELECT t AS name, '{n}' AS bits, count(*) // {fm.BLOCK[n][0]} * {fm.BLOCK[n][1]} AS bytes, round(sum((x::DOUBLE - v::DOUBLE) * (x::DOUBLE - v::DOUBLE)) * 1000) AS cost FROM e GROUP BY t)"
+    return f"""WITH pts AS ({" UNION ALL ".join(map(one, rungs))}), one AS (SELECT * FROM pts QUALIFY row_number() OVER (PARTITION BY name, bytes ORDER BY cost, bits) = 1),
+low AS (SELECT *, min(cost) OVER (PARTITION BY name ORDER BY bytes ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM one)
+SELECT name, bits, bytes, cost, CAST(row_number() OVER (PARTITION BY name ORDER BY bytes) - 1 AS INT) AS lvl FROM low WHERE best IS NULL OR cost < best"""
+
+
 def oracle() -> dict[str, str]:
     ladder = ", ".join(f"({fm.ID[n]})" for n in fm.LADDERS["full"] + fm.LADDERS["blockfloat"])
     full = ", ".join(f"({i}, {fm.ID[n]}, {fm.BLOCK[n][1] * 8 / fm.BLOCK[n][0]!r}::DOUBLE)" for i, n in enumerate(fm.LADDERS["full"]))
@@ -202,6 +210,7 @@ def oracle() -> dict[str, str]:
         "proxy_cost_abs": f"WITH {coded('Q4_0')}, {IMATRIX} SELECT e.t AS tensor, round(greatest(sum(greatest(g, 1e-12) * x::DOUBLE * x::DOUBLE), 1e-12), 6) AS energy, round(sum(greatest(g, 1e-12) * (x::DOUBLE - v::DOUBLE) * (x::DOUBLE - v::DOUBLE)), 6) AS cost FROM e JOIN im ON e.t = im.t AND e.c = im.c GROUP BY e.t",
         "proxy_cost_rel": f"WITH {coded('Q4_0')} SELECT t AS tensor, round(sqrt(sum((x::DOUBLE - v::DOUBLE) * (x::DOUBLE - v::DOUBLE)) / sum(x::DOUBLE * x::DOUBLE)), 6) AS cost FROM e GROUP BY t",
         "curve_points": _fallback(f"WITH {TAGGED}, lad(rung, target, bpw) AS (VALUES {full}), t AS (SELECT * FROM (SELECT name || '@' || cols AS name, max(n_elems) AS n_elems, cols FROM tags WHERE quantizable GROUP BY ALL), lad WHERE bpw + 1e-9 >= 4.5)", "SELECT name, n_elems, cols, CAST(rung AS INT) AS rung, CAST(actual_id AS INT) AS actual_id, CASE WHEN n_elems % u.block = 0 THEN n_elems // u.block * u.block_bytes END AS bytes FROM f JOIN formats u ON u.type_id = actual_id QUALIFY row_number() OVER (PARTITION BY name, actual_id ORDER BY rung) = 1"),
+        "embedding_curves": _embedding_curves(),
         "curve_normalize": f"WITH {SYNTH} SELECT name, bits, bytes, cost, lvl FROM cur",
         "curve_hull": f"WITH {SYNTH} SELECT name, lvl, bits, bytes, cost FROM hull",
         "curve_steps": f"WITH {SYNTH} SELECT name, lvl, bits, gain, delta, round(gain / delta, 9) AS ratio FROM moves WHERE gain > 0 AND delta > 0",

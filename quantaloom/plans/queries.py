@@ -318,8 +318,12 @@ def event_blocks(spark, d):
     """Values of events, by type and in order of id, as rows of 64, through Q8_0; the ragged tail is left out."""
     from pyspark.sql import Window
 
-    e = table(spark, d, "events")
-    i = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1
+    e = table(spark, d, "events").withColumn("bin", F.expr("event_id div 4096"))
+    # places by counts of bins of ids, so that no task ranks a whole type
+    bins = e.groupBy("event_type", "bin").agg(F.count(F.lit(1)).alias("n"))
+    before = bins.select("event_type", "bin", F.coalesce(F.sum("n").over(Window.partitionBy("event_type").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    e = e.join(before, ["event_type", "bin"])
+    i = F.col("before") + F.row_number().over(Window.partitionBy("event_type", "bin").orderBy("event_id")) - 1
     rows = e.select(F.col("event_type").alias("tensor"), i.alias("i"), F.col("value").cast("float").alias("v")).withColumn("row", F.expr("cast(i div 64 as bigint)"))
     packed = rows.groupBy("tensor", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda p: p["v"]).alias("x")).where(F.size("x") == 64)
     return blocks.error_report(blocks.roundtrip(packed, "Q8_0"), "Q8_0").select("tensor", "n", "bytes", "code_sum", "code_abs")

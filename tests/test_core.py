@@ -168,3 +168,17 @@ def test_moe_plan_and_audit(spark):
     replaced = source.where(F.col("name").contains(".mlp.")).select("name")
     assert convert.audit(source, out.drop("action"), replaced).count() == 0
     assert convert.audit(source, out.drop("action").where("name <> 'lm_head.weight'"), replaced).first()["problem"] == "missing"
+
+
+def test_quantiles_of_nearest_rank(spark):
+    import random
+
+    from quantaloom.operators import metrics
+
+    rng = random.Random(3)
+    rows = [(g, rng.choice([0.0, 0.5, rng.random()])) for g in range(3) for _ in range(rng.choice([1, 2, 5001]))]
+    frame = spark.createDataFrame(rows, "g int, v double")
+    got = {r["g"]: r for r in metrics.quantiles(frame, "v", {"a": 0.5, "b": 0.99, "c": 0.0}, "g").collect()}
+    for g in range(3):
+        own = sorted(v for k, v in rows if k == g)
+        assert [got[g][c] for c in "abc"] == [own[int((len(own) - 1) * q + 0.5)] for q in (0.5, 0.99, 0.0)]

@@ -6,7 +6,8 @@ places, and coordinate k is the minimum of pi over the places shifted circularly
 by k. Eight coordinates make a band; documents that agree on a band meet in its bucket.
 
 Equal sets collapse to one representative first. In each bucket every member is
-verified against the bucket's smallest id, on full shingle sets. Buckets
+screened by its signature against the bucket's smallest id, and verified on full
+shingle sets where it could reach the threshold. Buckets
 whose members then still lie in several components are looked at again: there all
 pairs across components are compared by their signatures, block by block inside
 the tasks, and those that could reach the threshold are verified as well. So no
@@ -31,18 +32,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantaloom.llm._bytes import NOT_SPACE, flat, mix, pieces, words
+from quantaloom.llm._bytes import NOT_SPACE, flat, mix, packed_texts, pieces, words
 from quantaloom.llm._graph import components
 from quantaloom.runtime import save, ship
 
 SHINGLE = 5
 PERCENT = 85
 BANDS, ROWS = 40, 8
-COORDINATES = BANDS * ROWS
-SCREEN = 0.77
+#: Coordinates of a signature: the first BANDS * ROWS make bands, all of them estimate.
+COORDINATES = 640
+SCREEN = 0.795
 #: Members of a bucket that are compared with one another in one task.
 BLOCK = 1024
 #: Members verified against one centre in one task.
@@ -132,24 +135,23 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _near_size(a: str, b: str):
-    return F.lit(100) * F.least(a, b) >= F.lit(PERCENT) * F.greatest(a, b)
-
-
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose full sets reach the threshold; one task holds one b and up to STAR of its a."""
     stars = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("salts"))
     salted = pairs.join(stars, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"))
+    # whole texts travel packed; the same plan at every size
     wanted = salted.select(F.col("a").alias("id"), "b", "salt", F.lit(True).alias("member")).unionAll(salted.select(F.col("b").alias("id"), "b", "salt", F.lit(False).alias("member")).distinct())
-    rows = wanted.join(texts.withColumnRenamed("doc_id", "id"), "id").select("b", "salt", "member", "id", "text")
+    rows = wanted.join(texts.withColumnRenamed("doc_id", "id").hint("merge"), "id").select("b", "salt", "member", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, own = None, None
         for batch in batches:
-            for piece in pieces(batch, 4, 2 << 20):
-                sets = shingle_sets(*flat(piece.column(4)))
+            for at in range(0, batch.num_rows, 256):
+                piece = batch.slice(at, 256)
                 linked: list[tuple[int, int]] = []
-                for b, salt, member, doc_id, found in zip(*(piece.column(i).to_pylist() for i in range(4)), sets, strict=True):
+                for b, salt, member, doc_id, packed in zip(*(piece.column(i).to_pylist() for i in range(5)), strict=True):
+                    data = np.frombuffer(zstandard.decompress(packed), np.uint8)
+                    found = shingle_sets(data, np.array([0, len(data)]))[0]
                     if not member:
                         centre, own = (b, salt), found
                         continue
@@ -163,6 +165,36 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "member").mapInArrow(run, "a long, b long")
 
 
+def _starred(members: DataFrame) -> DataFrame:
+    """Pairs (member, smallest id) of each bucket that could reach the threshold.
+
+    The smallest id goes to every task that holds some of a large bucket's members.
+    """
+    salts = F.ceil(F.col("size") / STAR)
+    dealt = members.select("key", F.explode(F.when(F.col("id") == F.col("b"), F.sequence(F.lit(0).cast("long"), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), salts)))).alias("salt"), (F.col("id") != F.col("b")).alias("member"), "id", "n", "sig")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, sizes = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            signed = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(len(ids), COORDINATES)
+            heads = ~batch.column(2).to_numpy(zero_copy_only=False)
+            if centre is not None:
+                ids, sizes, heads = (np.append(x, y) for x, y in zip(centre[:3], (ids, sizes, heads), strict=True))
+                signed = np.concatenate([centre[3], signed])
+            own = np.maximum.accumulate(np.where(heads, np.arange(len(ids)), 0))
+            last = own[-1]
+            centre = [x[last : last + 1] for x in (ids, sizes, heads, signed)]
+            near = ~heads & (100 * np.minimum(sizes, sizes[own]) >= PERCENT * np.maximum(sizes, sizes[own]))
+            at = np.flatnonzero(near)
+            at = at[(signed[at] == signed[own[at]]).sum(axis=1) >= SCREEN * COORDINATES]
+            yield pa.record_batch([pa.array(ids[at], pa.int64()), pa.array(ids[own[at]], pa.int64())], ["a", "b"])
+
+    return dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "member").mapInArrow(run, "a long, b long")
+
+
 def _screened(members: DataFrame) -> DataFrame:
     """Pairs (a, b), a > b, of different components in one bucket that could reach the threshold.
 
@@ -178,7 +210,7 @@ def _screened(members: DataFrame) -> DataFrame:
         own, low, high, ids, sizes, comps = (rows.column(name).to_numpy() for name in ("own", "low", "high", "id", "n", "comp"))
         band = rows.column("band")[0].as_py()
         signed = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(len(ids), COORDINATES)
-        bands = np.ascontiguousarray(signed).view(np.uint64)
+        bands = np.ascontiguousarray(signed[:, : BANDS * ROWS]).view(np.uint64)
         within = low[0] == high[0]
         lefts = np.arange(len(ids)) if within else np.flatnonzero(own == low[0])
         rights = lefts if within else np.flatnonzero(own == high[0])
@@ -221,17 +253,17 @@ def decide(docs: DataFrame) -> DataFrame:
     same = save(sets.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.substring(F.col("sig"), i * ROWS + 1, F.lit(ROWS)), i).alias("key")))
     keyed = same.select("id", "n", F.explode(band).alias("x")).select("id", "n", F.col("x.band").cast("long").alias("band"), F.col("x.key").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = save(keyed.join(heads, "key").select("key", "size", "id", "n", "band", F.col("head.id").alias("b"), F.col("head.n").alias("bn")))
+    heads = keyed.groupBy("key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = keyed.join(heads, "key")
+    buckets = save(met.join(same.select("id", "sig"), "id").select("key", "size", "id", "n", "band", "b", "sig"))
     members = buckets.select(F.col("id").alias("doc_id")).distinct()
-    texts = save(_texts(docs).join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    pairs = buckets.where((F.col("id") != F.col("b")) & _near_size("n", "bn")).select(F.col("id").alias("a"), "b").distinct()
-    links = save(_verified(pairs, texts))
+    texts = save(packed_texts(_texts(docs)).join(members.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    links = save(_verified(save(_starred(buckets).distinct()), texts))
     labels = components(links)
     # buckets of three or more whose members are still apart: all that meets there is screened and verified
     wide = buckets.where("size > 2").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     apart = wide.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    again = wide.join(apart, "key", "left_semi").select("key", "size", "id", "n", "comp", "band").join(same.select("id", "sig"), "id")
+    again = wide.join(apart, "key", "left_semi").select("key", "size", "id", "n", "comp", "band", "sig")
     later = save(_verified(save(_screened(again).distinct()), texts))
     if not later.isEmpty():
         labels = components(links.unionAll(later))

@@ -178,4 +178,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     own = "_quality_"
     measured = cut(measure(docs.select("doc_id", "text", "lang"), own).drop("text"))
     chosen = cutoffs(measured, labels, own)
-    return _judged(measure(docs, own), chosen, own).where("_kept").select(*docs.columns)
+    # a row number keeps the filter above the measures; pushed below, it would repeat them inside itself
+    once = measure(docs, own).withColumn("_m_row", F.monotonically_increasing_id())
+    return _judged(once, chosen, own).where(F.col("_kept") & (F.col("_m_row") >= 0)).select(*docs.columns)

@@ -7,8 +7,9 @@ within CONTEXT code points of entity e, and the disclosure of e by t is
 log2(p(e | t) / p(e)). A term counts if it stands beside one entity in at least
 SUPPORT independent contexts, names it with p(e | t) >= SHARE (among the contexts of
 entities and among all documents) and discloses at least BITS. Contexts are as many as
-the inverse of the chance that two of them agree in the term's company, so copies and
-near copies of one text are one context. Such terms are spans of kind `term` wherever they occur. Sanitising replaces every span by
+the different companies of the term beside the entity, so a group of copies is one context
+and takes nothing from the others; a near copy is one more only where it changes the
+term's company. Such terms are spans of kind `term` wherever they occur. Sanitising replaces every span by
 its kind in brackets; overlapping spans merge into one under the first kind.
 
 Patterns are written so that Java's matcher neither recurses nor rescans: runs
@@ -168,11 +169,10 @@ def disclosing(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, bi
 
     beside = spans.select(F.explode(F.transform("_b_all", around)).alias("c"))
     pairs = beside.select(F.col("c.entity").alias("entity"), F.explode(_company(F.col("c.context"))).alias("t")).select("entity", "t.term", "t.company")
-    # one row for each (entity, term, company) and then sums: partial aggregates, so hot entities meet no single task
+    # one row for each (entity, term, company), a context of its own, and then counts: partial aggregates, so hot entities meet no single task
     once = pairs.groupBy("entity", "term", "company").agg(F.count(F.lit(1)).alias("n"))
     seen = once.groupBy("term").agg(F.sum("n").alias("n_beside"))
-    n = F.col("n").cast("double")
-    both = once.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), (F.sum(n) * F.sum(n) / F.sum(n * n)).alias("contexts"))
+    both = once.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("contexts"))
     candidates = both.where(F.col("contexts") >= support).join(seen, "term").where(F.col("n_both") >= F.lit(share) * F.col("n_beside"))
     candidates = cut(candidates)
     size = candidates.count()

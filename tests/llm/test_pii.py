@@ -84,6 +84,19 @@ def test_terms_disclose(spark):
     assert len(s) == 3 and s[2].startswith("email:") and spans[200]["base_sha256"] == hashlib.sha256(s[2].encode()).hexdigest()
 
 
+def test_copies_take_no_support(spark):
+    rng = random.Random(9)
+    words = [f"{a}{b}" for a in "abcdefghijklmnopqrst" for b in ("ana", "eve", "ilo", "oru")]
+    some = lambda: " ".join(rng.choices(words, k=8))
+    texts = [" ".join(rng.choices(words, k=40)) for _ in range(1200)]
+    texts += [f"{some()} Ottoline asked ott@x.org {some()}"] * 50
+    texts += [f"{some()} Ottoline ott@x.org {some()}" for _ in range(10)]
+    texts += [f"{some()} Peregrine asked per@x.org {some()}"] * 50
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    terms = {r["term"] for r in pii.disclosing(docs).collect()}
+    assert "ottoline" in terms and "peregrine" not in terms, terms
+
+
 def test_sanitise_overlaps(spark):
     rows = [(1, "x 4111 1111 1111 1111 y 1.2.3.4", "k"), (2, "", None), (2, "", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _h string")

@@ -5,8 +5,8 @@ co-occurrence estimates how strongly a term gives a protected entity (the value
 base span) away: over all documents, n(t) documents hold term t, n(t, e) of them hold it
 within CONTEXT code points of entity e, and the disclosure of e by t is
 log2(p(e | t) / p(e)). A term counts if it stands beside one entity in at least
-SUPPORT independent contexts, names it with p(e | t) >= SHARE (among the contexts of
-entities and among all documents) and discloses at least BITS. Contexts are as many as
+SUPPORT independent contexts, names it with p(e | t) >= SHARE and discloses at least
+BITS; all counts are of documents, so entities that stand together do not compete. Contexts are as many as
 the different companies of the term beside the entity, so a group of copies is one context
 and takes nothing from the others; a near copy is one more only where it changes the
 term's company. Such terms are spans of kind `term` wherever they occur. Sanitising replaces every span by
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantaloom.runtime import cut
+from quantaloom.runtime import cut, save
 
 CONTEXT = 60
 SUPPORT = 3
@@ -153,7 +153,7 @@ def _company(context: Column) -> Column:
 
 def disclosing(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, bits: float = BITS) -> DataFrame:
     """The terms that give an entity away: term, entity, n_both, n_term, bits. Counts cover all documents."""
-    # Contexts of entities first: one row for each entity in each distinct context.
+    # Contexts of entities first: one row for each place of an entity, under its document's number.
     spans = _based(docs.select("text")).where(F.size("_b_all") > 0)
     text = _text()
 
@@ -167,12 +167,14 @@ def disclosing(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, bi
         entity = F.lower(F.substring(text, (x["s"] + 1).cast("int"), (x["e"] - x["s"]).cast("int")))
         return F.struct(entity.alias("entity"), F.concat_ws(" ", before, after).alias("context"))
 
-    beside = spans.select(F.explode(F.transform("_b_all", around)).alias("c"))
-    pairs = beside.select(F.col("c.entity").alias("entity"), F.explode(_company(F.col("c.context"))).alias("t")).select("entity", "t.term", "t.company")
-    # one row for each (entity, term, company), a context of its own, and then counts: partial aggregates, so hot entities meet no single task
-    once = pairs.groupBy("entity", "term", "company").agg(F.count(F.lit(1)).alias("n"))
-    seen = once.groupBy("term").agg(F.sum("n").alias("n_beside"))
-    both = once.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("contexts"))
+    # numbered below the explode, where a row is a document, and saved, so that all counts see the same numbers
+    numbered = spans.select(F.monotonically_increasing_id().alias("doc"), F.transform(F.col("_b_all"), around).alias("_c"))
+    beside = save(numbered.select("doc", F.explode("_c").alias("c")).select("doc", "c.entity", "c.context"))
+    pairs = beside.select("doc", "entity", F.explode(_company(F.col("context"))).alias("t")).select("doc", "entity", "t.term", "t.company")
+    # distinct rows are counted by partial aggregates, so hot entities and terms meet no single task
+    seen = pairs.groupBy("term").agg(F.count_distinct("doc").alias("n_beside"))
+    both = pairs.groupBy("entity", "term").agg(F.count_distinct("doc").alias("n_both"), F.count_distinct("company").alias("contexts"))
+    # n_beside <= n_term, so this loses no term that the share among all documents keeps
     candidates = both.where(F.col("contexts") >= support).join(seen, "term").where(F.col("n_both") >= F.lit(share) * F.col("n_beside"))
     candidates = cut(candidates)
     size = candidates.count()
@@ -181,7 +183,7 @@ def disclosing(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, bi
     words = docs.select(F.explode(_terms(text)).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     entities = candidates.select("entity").distinct()
     entities = F.broadcast(entities) if size <= BROADCAST_TERMS else entities
-    held = beside.select(F.col("c.entity").alias("entity")).join(entities, "entity", "left_semi").groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    held = beside.select("doc", "entity").join(entities, "entity", "left_semi").groupBy("entity").agg(F.count_distinct("doc").alias("n_entity"))
     rows = docs.agg(F.count(F.lit(1)).alias("n_all"))
     rated = candidates.join(words, "term").join(held, "entity").join(F.broadcast(rows))
     p = F.least(F.col("n_both") / F.col("n_term"), F.lit(1.0))

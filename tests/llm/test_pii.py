@@ -97,6 +97,21 @@ def test_copies_take_no_support(spark):
     assert "ottoline" in terms and "peregrine" not in terms, terms
 
 
+def test_entities_together_do_not_compete(spark):
+    rng = random.Random(10)
+    words = [f"{a}{b}" for a in "abcdefghijklmnopqrst" for b in ("ana", "eve", "ilo", "oru")]
+    some = lambda: " ".join(rng.choices(words, k=8))
+    texts = [" ".join(rng.choices(words, k=40)) for _ in range(400)]
+    signed = "Marlowe mar@x.org +1 (555) 010-2030, 4111 1111 1111 1111"
+    texts += [f"{some()} {signed} {some()}" for _ in range(10)]
+    # places are not documents: three in one document name an entity once
+    texts += [f"{some()} Isolde iso@x.org, Isolde iso@x.org, Isolde iso@x.org {some()}" for _ in range(4)] + [f"{some()} Isolde {some()}" for _ in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r["term"], r["entity"]): r for r in pii.disclosing(docs).collect() if r["term"] in ("marlowe", "isolde")}
+    assert set(found) == {("marlowe", x) for x in ("mar@x.org", "+1 (555) 010-2030", "4111 1111 1111 1111")}, found
+    assert all(r["n_both"] == r["n_term"] == 10 for r in found.values()), found
+
+
 def test_sanitise_overlaps(spark):
     rows = [(1, "x 4111 1111 1111 1111 y 1.2.3.4", "k"), (2, "", None), (2, "", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _h string")

@@ -6,13 +6,14 @@ its id hashes to. In each round the linked documents of one group in one shard
 are, among the shards that have room. A shard admits requests up to its quota, whole
 cells at a time, by a hash of the cell and round, so no ranking of requests is needed.
 Cells and not documents are joined and counted: a group has at most as many cells as
-there are shards, so a group of any size is a few rows and full shards leave
-a giant group spread as it was.
+there are shards, so a group of any size is a few rows. A group that found no room in
+the rounds is gathered after them where most of it is, and the rest gives way in the cut.
 
 The law is `rows`: after the last round the documents are put in order of label, group
 and id and cut into shards whose counts are at most one apart; only groups at a cut, or
-larger than a shard, stay apart. The order's ranks come from counts of small bins, and
-a large group has bins of its own, so no bin grows with a group.
+larger than a shard, stay apart, and those in adjacent shards, one more than they fill at
+most. The order's ranks come from counts of small bins, and a large group has bins of its
+own, so no bin grows with a group.
 
 Size is the text's UTF-8 bytes (null: none) plus 8. Null texts are linked with empty ones. Null ids
 are allowed, as are repeated rows: each row has a slot of its own. Extra columns are ignored.
@@ -29,7 +30,8 @@ SHARDS = 24
 ROUNDS = 5
 #: How far a shard may exceed the even share while labels move.
 SLACK = 1.05
-#: Bins of groups per label, and rows beyond which a group has bins of its own (more if there are more than BIN_ROWS * 100,000 rows).
+#: Bins of groups per label, and rows beyond which a group has bins of its own (more if there are more than BIN_ROWS * 100,000 rows,
+#: fewer if that is over a thousandth of the rows).
 BINS, BIN_ROWS = 4096, 10_000
 
 
@@ -49,6 +51,7 @@ def propagate(cells: DataFrame, rows: int, shards: int = SHARDS, rounds: int = R
     """cells (grp, start, n, load) with their final label; load counts the unlinked rows of shard `start`.
 
     Linked cells have n > 0 and load 0; one cell per shard with grp null carries its unlinked rows.
+    After any rounds all cells of a group have one label, whether or not that shard had room.
     """
     cap = SLACK * rows / shards
     state = cells.withColumn("label", F.col("start"))
@@ -67,7 +70,13 @@ def propagate(cells: DataFrame, rows: int, shards: int = SHARDS, rounds: int = R
         luck = F.pmod(F.xxhash64("grp", "goal", F.lit(turn)), F.lit(1 << 20)) / F.lit(float(1 << 20))
         settled = moves.join(quota, "goal", "left").withColumn("label", F.when((F.col("goal") != F.col("label")) & (luck < F.col("quota")), F.col("goal")).otherwise(F.col("label")))
         state = save(settled.select(*state.columns).unionByName(state.where("grp is null")))
-    return state
+    if not rounds:
+        return state
+    linked = state.where("grp is not null")
+    votes = linked.groupBy("grp", "label").agg(F.sum("n").alias("votes"))
+    home = votes.groupBy("grp").agg(F.max_by("label", F.struct("votes", F.xxhash64("grp", "label"))).alias("home"))
+    gathered = linked.join(home, "grp").withColumn("label", F.col("home"))
+    return gathered.select(*state.columns).unionByName(state.where("grp is null"))
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -81,7 +90,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     cells = save(linked.unionByName(single))
     final = propagate(cells, rows, shards, rounds).where("grp is not null").select("grp", "start", "label")
     # nodes of unlinked groups keep their start
-    large = F.lit(max(BIN_ROWS, rows // 100_000))
+    # a gathered group's rows share a label, so its bins are small beside the rows: some thousands of bins, or rows / large
+    large = F.lit(min(max(BIN_ROWS, rows // 100_000), max(rows // 1000, 100)))
     wide = groups.where("members > 1").join(final, "grp").select("grp", "start", "label", "members")
     placed = nodes.join(wide, ["grp", "start"], "left").withColumn("label", F.coalesce("label", "start"))
     own = F.col("members") > large

@@ -42,6 +42,21 @@ def test_law_and_links(spark, monkeypatch, bin_rows):
     assert cut_links(rows, got) < 0.3 * cut_links(rows, none)
 
 
+def test_large_groups_gather(spark):
+    rows, shards = [(i, f"text {i}") for i in range(600)], 12
+    sizes = {"small": 40, "half": 150, "whole": 300, "giant": 1100, "twin": 1100}
+    for text, n in sizes.items():
+        rows += [(len(rows) + k, text) for k in range(n)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), shards).collect()
+    check(rows, got, shards)
+    text, where = dict(rows), defaultdict(set)
+    for r in got:
+        where[text[r["doc_id"]]].add(r["shard"])
+    for name, n in sizes.items():
+        assert len(where[name]) <= -(-n * shards // len(rows)) + 1, (name, where[name])
+        assert max(where[name]) - min(where[name]) < len(where[name])
+
+
 @pytest.mark.parametrize("rows", [[], [(1, "a")], [(1, None), (None, ""), (None, "x"), (2, "x"), (2, "x"), (2, "x")], [(i, "same") for i in range(50)]])
 def test_small(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string")

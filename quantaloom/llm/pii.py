@@ -9,15 +9,18 @@ SUPPORT independent contexts, names it with p(e | t) >= SHARE and discloses at l
 BITS; all counts are of documents, so entities that stand together do not compete. Contexts are as many as
 the different companies of the term beside the entity, so a group of copies is one context
 and takes nothing from the others; a near copy is one more only where it changes the
-term's company. Such terms are spans of kind `term` wherever they occur. Sanitising replaces every span by
-its kind in brackets; overlapping spans merge into one under the first kind.
+term's company. Such terms are spans of kind `term` wherever they occur.
+
+Sanitising generalises a term to its longest prefix that discloses no entity beyond the
+thresholds (written `pre*`), and removes it if there is none; the other spans become
+their kind in brackets. Overlapping spans merge into one under the first.
 
 Patterns are written so that Java's matcher neither recurses nor rescans: runs
 are possessive, and a match starts a run or where the last match ended, which
 changes no leftmost match. Offsets are code points, ends exclusive.
 
 Null and empty texts have no spans. Repeated rows and equal texts have equal
-spans; each row is returned. Extra columns stay in what `sanitise` returns.
+spans; each row is returned. Extra columns, whatever their names, stay in what `sanitise` returns.
 """
 
 from __future__ import annotations
@@ -25,13 +28,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantaloom.runtime import cut, save
+from quantaloom.llm._rows import ROW, unwrapped, wrapped
+from quantaloom.runtime import save
 
 CONTEXT = 60
-SUPPORT = 3
+SUPPORT = 2
 SHARE = 0.5
 BITS = 4.0
-#: More disclosing terms than this are joined by a shuffle and not by a broadcast.
+#: Up to so many disclosing terms stand as a set in the expression; more are joined by a shuffle.
 BROADCAST_TERMS = 20_000
 
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
@@ -45,6 +49,7 @@ PATTERNS = {
 KINDS = [*PATTERNS, "term"]
 _WORD = r"\p{L}++"
 _SPANS = "array<struct<s:long,k:int,e:long>>"
+_TERMS = "array<struct<term:string,keep:int>>"
 _BLOCK = 256
 
 
@@ -151,10 +156,16 @@ def _company(context: Column) -> Column:
     return _let(_terms(context), with_company)
 
 
+def _frequencies(docs: DataFrame) -> DataFrame:
+    """How many documents hold each term: partial counts meet, never the texts."""
+    return docs.select(F.explode(_terms(_text())).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+
+
 def disclosing(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, bits: float = BITS) -> DataFrame:
-    """The terms that give an entity away: term, entity, n_both, n_term, bits. Counts cover all documents."""
+    """The terms that give an entity away: term, entity, n_both, n_term, bits, keep. Counts cover all documents."""
+    docs = docs.select(F.col("text").cast("string").alias("text"))
     # Contexts of entities first: one row for each place of an entity, under its document's number.
-    spans = _based(docs.select("text")).where(F.size("_b_all") > 0)
+    spans = _based(docs).where(F.size("_b_all") > 0)
     text = _text()
 
     def around(x: Column) -> Column:
@@ -172,53 +183,58 @@ def disclosing(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, bi
     beside = save(numbered.select("doc", F.explode("_c").alias("c")).select("doc", "c.entity", "c.context"))
     pairs = beside.select("doc", "entity", F.explode(_company(F.col("context"))).alias("t")).select("doc", "entity", "t.term", "t.company")
     # distinct rows are counted by partial aggregates, so hot entities and terms meet no single task
-    seen = pairs.groupBy("term").agg(F.count_distinct("doc").alias("n_beside"))
     both = pairs.groupBy("entity", "term").agg(F.count_distinct("doc").alias("n_both"), F.count_distinct("company").alias("contexts"))
-    # n_beside <= n_term, so this loses no term that the share among all documents keeps
-    candidates = both.where(F.col("contexts") >= support).join(seen, "term").where(F.col("n_both") >= F.lit(share) * F.col("n_beside"))
-    candidates = cut(candidates)
-    size = candidates.count()
-    wanted = candidates.select("term").distinct()
-    wanted = F.broadcast(wanted) if size <= BROADCAST_TERMS else wanted
-    words = docs.select(F.explode(_terms(text)).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    entities = candidates.select("entity").distinct()
-    entities = F.broadcast(entities) if size <= BROADCAST_TERMS else entities
-    held = beside.select("doc", "entity").join(entities, "entity", "left_semi").groupBy("entity").agg(F.count_distinct("doc").alias("n_entity"))
-    rows = docs.agg(F.count(F.lit(1)).alias("n_all"))
-    rated = candidates.join(words, "term").join(held, "entity").join(F.broadcast(rows))
+    candidates = save(both.where(F.col("contexts") >= support).drop("contexts"))
+    none = "term string, entity string, n_both long, n_term long, bits double, keep int"
+    if candidates.isEmpty():
+        return docs.sparkSession.createDataFrame([], none)
+    known = save(_frequencies(docs))
+    held = beside.select("doc", "entity").join(candidates.select("entity").distinct(), "entity", "left_semi").groupBy("entity").agg(F.count_distinct("doc").alias("n_entity"))
+    n_all = F.lit(docs.count())
     p = F.least(F.col("n_both") / F.col("n_term"), F.lit(1.0))
-    strength = F.log2(p * F.col("n_all") / F.col("n_entity"))
-    return rated.where((p >= share) & (strength >= bits)).select("term", "entity", "n_both", "n_term", strength.alias("bits"))
-
-
-def _term_spans(docs: DataFrame, terms: DataFrame, size: int) -> DataFrame:
-    """Spans of disclosing terms for each text that holds one: _h, _t."""
-    small = F.broadcast(terms) if size <= BROADCAST_TERMS else terms
-    texts = docs.select("text", F.sha2("text", 256).alias("_h"))
-    hits = texts.select("_h", F.explode(_terms(F.col("text"))).alias("term")).join(small, "term", "left_semi").select("_h").distinct()
-    found = texts.join(hits, "_h", "left_semi").dropDuplicates(["_h"])
-    places = found.select("_h", F.explode(_found(_text(), _WORD)).alias("x")).withColumn("term", F.lower(F.col("x.hit")))
-    spans = F.struct(F.col("x.s").alias("s"), F.lit(KINDS.index("term")).alias("k"), (F.col("x.s") + F.length("x.hit")).cast("long").alias("e"))
-    return places.join(small, "term", "left_semi").groupBy("_h").agg(F.sort_array(F.collect_list(spans)).alias("_t"))
-
-
-def _spanned(docs: DataFrame) -> DataFrame:
-    """docs with _b_* and _spans."""
-    based = _based(docs)
-    terms = cut(disclosing(docs).select("term").distinct())
-    size = terms.count()
-    if not size:  # nothing discloses, so no text needs a second look
-        return based.withColumn("_spans", F.col("_b_all"))
-    own = _term_spans(docs, terms, size)
-    joined = based.withColumn("_h", F.sha2("text", 256)).join(own, "_h", "left").drop("_h")
-    return joined.withColumn("_spans", F.sort_array(F.concat("_b_all", F.coalesce("_t", F.array().cast(_SPANS))))).drop("_t")
+    strength = F.log2(p * n_all / F.col("n_entity"))
+    rated = candidates.join(known, "term").join(held, "entity").withColumn("bits", strength).where((p >= share) & (F.col("bits") >= bits))
+    rated = save(rated)
+    # A prefix names at least the documents of its most frequent term, so it discloses an entity by these shares at most.
+    starts = rated.groupBy("term").agg(F.max("n_entity").alias("n_entity")).withColumn("size", F.explode(F.sequence(F.lit(1), F.length("term") - 1)))
+    starts = starts.withColumn("start", F.substring(F.col("term"), F.lit(1), F.col("size")))
+    every = known.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("term") - 1), lambda i: F.substring(F.col("term"), F.lit(1), i))).alias("start"), "n_term")
+    common = every.groupBy("start").agg(F.max("n_term").alias("n_start"))
+    general = starts.join(common, "start").where((F.col("n_entity") < F.lit(share) * F.col("n_start")) & (F.log2(n_all / F.col("n_start")) < bits))
+    kept = general.groupBy("term").agg(F.max("size").alias("keep"))
+    return rated.join(kept, "term", "left").select("term", "entity", "n_both", "n_term", "bits", F.coalesce("keep", F.lit(0)).cast("int").alias("keep"))
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """Wrapped docs with base spans, `_t` (their disclosing terms, and how many letters of each stay) and `_spans`."""
+    terms = save(disclosing(docs).groupBy("term").agg(F.min("keep").alias("keep")))
+    rows = wrapped(docs, text=F.col("text").cast("string"))
+    few = terms.limit(BROADCAST_TERMS + 1).collect()
+    if len(few) <= BROADCAST_TERMS:
+        # the terms are a set of bounded size inside the expression: no text moves
+        sizes = sorted({r["keep"] for r in few})
+        sets = [(n, [r["term"] for r in few if r["keep"] == n]) for n in sizes]
+
+        def lookup(term: Column) -> Column:
+            return F.coalesce(*(F.when(term.isin(own), F.lit(n)) for n, own in sets)) if sets else F.lit(None).cast("int")
+
+        own = F.filter(F.transform(_terms(_text()), lambda x: F.struct(x.alias("term"), lookup(x).alias("keep"))), lambda x: x["keep"].isNotNull())
+        out = rows.withColumn("_t", own if sets else F.array().cast(_TERMS))
+    else:
+        rows = rows.withColumn("_h", F.sha2("text", 256))
+        held = rows.select("_h", F.explode(_terms(_text())).alias("term")).distinct().join(terms, "term").groupBy("_h").agg(F.collect_list(F.struct("term", "keep")).alias("_t"))
+        out = rows.join(held, "_h", "left").withColumn("_t", F.coalesce("_t", F.array().cast(_TERMS)))
+    places = F.transform(_found(_text(), _WORD), lambda x: F.struct(x["s"].alias("s"), x["hit"].alias("hit"), F.get(F.filter("_t", lambda t: t["term"] == F.lower(x["hit"])), F.lit(0)).alias("t")))
+    spans = F.transform(F.filter(places, lambda x: x["t"].isNotNull()), lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index("term")).alias("k"), (x["s"] + F.length(x["hit"])).cast("long").alias("e"), x["t"]["keep"].alias("keep")))
+    base = F.transform("_b_all", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.lit(0).alias("keep")))
+    return _based(out).withColumn("_spans", F.when(F.size("_t") > 0, F.sort_array(F.concat(base, spans))).otherwise(base))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Per document: base counts and digest, and all spans."""
-    out = _spanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    out = _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return out.select(
-        "doc_id",
+        F.col(ROW).getField("doc_id").alias("doc_id"),
         *(F.size(f"_b_{kind}").cast("long").alias(f"n_{kind}") for kind in PATTERNS),
         F.sha2(_listed(F.col("_b_all")), 256).alias("base_sha256"),
         _listed(F.col("_spans")).alias("spans"),
@@ -226,16 +242,20 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def _cleaned(text: Column, spans: Column) -> Column:
-    """The text with each run of overlapping spans replaced by the kind of its first."""
+    """The text with each run of overlapping spans replaced by the kind of its first, or by what is kept of a term."""
     names = F.array(*(F.lit(f"[{kind.upper()}]") for kind in KINDS))
 
+    def instead(x: Column) -> Column:
+        start = F.substring(text, (x["s"] + 1).cast("int"), x["keep"])
+        return F.when(x["keep"] > 0, F.concat(start, F.lit("*"))).otherwise(F.get(names, x["k"]))
+
     def block(part: Column) -> Column:
         start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
         def step(a: Column, x: Column) -> Column:
             gap = F.substring(text, (a["at"] + 1).cast("int"), F.greatest(x["s"] - a["at"], F.lit(0)).cast("int"))
             covered = (x["s"] < a["at"]) & (a["out"] != "")
-            return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(covered, a["out"]).otherwise(F.concat(a["out"], gap, F.get(names, x["k"]))).alias("out"))
+            return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(covered, a["out"]).otherwise(F.concat(a["out"], gap, instead(x))).alias("out"))
 
         return F.aggregate(part, start, step)
 
@@ -244,7 +264,7 @@ def _cleaned(text: Column, spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """docs with every span in `text` replaced by its kind in brackets; all columns stay."""
-    out = _spanned(docs)
+    """docs with every span in `text` replaced by its kind in brackets, or by a general prefix of the term; all columns stay."""
+    out = _marked(docs)
     text = F.when(F.size("_spans") > 0, _cleaned(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
-    return out.withColumn("text", text).select(*docs.columns)
+    return unwrapped(out, docs.columns, text=text)

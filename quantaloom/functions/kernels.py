@@ -338,7 +338,7 @@ def search_positive(x, levels, w):
     return np.where(live, _divide(lx, l2), 0).astype(f4), np.where(live[:, None], q, 0).astype(np.int32)
 
 
-def _requant(x, d, offset, low, high, codes):
+def _recode(x, d, offset, low, high, codes):
     """Codes again under the stored scales; blocks of scale 0 keep theirs."""
     with np.errstate(divide="ignore", invalid="ignore"):
         q = np.clip(np.rint((x + offset) / d), low, high)
@@ -373,7 +373,7 @@ def enc_q2_k(x, g=None):
         d, ls = search_positive(scale.reshape(n, 16), 15, sw)
         dm, lm = search_positive(low.reshape(n, 16), 15, sw)
     fine, offset = (np.repeat(_f16(a)[:, None] * b, 16, axis=1) for a, b in ((d, ls), (dm, lm)))
-    q = _requant(x, fine, offset, 0, 3, q.reshape(n, 256))
+    q = _recode(x, fine, offset, 0, 3, q.reshape(n, 256))
     return _join(ls | lm << 4, _planes(q), _half(d), _half(dm))
 
 
@@ -396,7 +396,7 @@ def enc_q3_k(x, g=None):
         w = _sub(_importance(x, g, 2), 16)
         scale, q = search_symmetric(parts, 4, w)
         d, ls = search_symmetric(scale.reshape(n, 16), 32, _sum(w).reshape(n, 16))
-    q = _requant(x, np.repeat(_f16(d)[:, None] * (ls - 32), 16, axis=1), 0, -4, 3, q.reshape(n, 256) - 4) + 4
+    q = _recode(x, np.repeat(_f16(d)[:, None] * (ls - 32), 16, axis=1), 0, -4, 3, q.reshape(n, 256) - 4) + 4
     high = np.packbits((q > 3).reshape(n, 8, 32), axis=1, bitorder="little").reshape(n, 32)
     packed = np.zeros((n, 12), np.int32)
     packed[:, :8] = ls[:, :8] & 15 | (ls[:, 8:] & 15) << 4
@@ -449,7 +449,7 @@ def _q45(x, g, levels, search):
         d, ls = search_positive(scale.reshape(n, 8), 63, sw)
         dm, lm = search_positive(low.reshape(n, 8), 63, sw)
     fine, offset = (np.repeat(_f16(a)[:, None] * b, 32, axis=1) for a, b in ((d, ls), (dm, lm)))
-    return d, dm, _pack_six(ls, lm), _requant(x, fine, offset, 0, levels, q.reshape(n, 256))
+    return d, dm, _pack_six(ls, lm), _recode(x, fine, offset, 0, levels, q.reshape(n, 256))
 
 
 def _pairs64(q):
@@ -497,7 +497,7 @@ def enc_q6_k(x, g=None):
     inv = np.where(np.abs(top) >= EPS, _divide(f4(-128), top), 0).astype(f4)
     d = _inverse(inv)
     ls = np.minimum(np.rint(inv[:, None] * scale), 127).astype(np.int32)
-    q = _requant(x, np.repeat(_f16(d)[:, None] * ls, 16, axis=1), 0, -32, 31, q.reshape(n, 256) - 32) + 32
+    q = _recode(x, np.repeat(_f16(d)[:, None] * ls, 16, axis=1), 0, -32, 31, q.reshape(n, 256) - 32) + 32
     q = np.where((inv == 0)[:, None], 0, q)
     p = q.reshape(n, 2, 4, 32)
     low = np.stack([p[:, :, 0] & 15 | (p[:, :, 2] & 15) << 4, p[:, :, 1] & 15 | (p[:, :, 3] & 15) << 4], axis=2)

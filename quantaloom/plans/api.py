@@ -23,13 +23,13 @@ def plan(tagged: DataFrame, rules: dict) -> DataFrame:
     """What quantizing does with each tensor: action and actual format.
 
     copy: not quantizable, or already there; convert: to a float type; quantize from a float source;
-    requant from another. A format that stands in no GGUF file is an error, as is a floor violation.
+    recode from another. A format that stands in no GGUF file is an error, as is a floor violation.
     """
     policies = recipe.enforce(recipe.resolve(tagged, rules), rules)
     placed = fm.with_fallback(policies, "target_id")
     legal = F.when(placed["quantizable"] & (F.col("actual_id") >= fm.INTERNAL), F.raise_error(F.concat(F.col("name"), F.lit(": the format stands in no GGUF file"))).cast("int")).otherwise(F.col("actual_id"))
     source_float, goal_float = F.col("type_id").isin(*(fm.ID[n] for n in fm.FLOATS)), F.col("actual_name").isin(*fm.FLOATS)
-    action = F.when(~F.col("quantizable") | (legal == F.col("type_id")), "copy").when(goal_float, "convert").when(source_float, "quantize").otherwise("requant")
+    action = F.when(~F.col("quantizable") | (legal == F.col("type_id")), "copy").when(goal_float, "convert").when(source_float, "quantize").otherwise("recode")
     out = placed.withColumns({"action": action, "warning": F.col("type_id").isin(*(fm.ID[n] for n in fm.FP4))})
     return out.withColumns({"out_id": F.when(F.col("action") == "copy", F.col("type_id")).otherwise(F.col("actual_id")), "out_name": F.when(F.col("action") == "copy", F.lit(None)).otherwise(F.col("actual_name"))})
 

@@ -12,8 +12,8 @@ Words: A-Z lower-cased, runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]. A window i
 13 consecutive words of an item; an item of fewer words is one window, an item
 without words (null, empty) has none. Null or empty documents have no words and
 are never contaminated. Repeated document rows are judged one by one; benchmark rows with
-the same item_id count as one item, and a null item_id reads as ''. Extra columns stay in what `keep_clean`
-returns and are ignored elsewhere.
+the same item_id count as one item, and a null item_id reads as ''. Extra columns, whatever their names, stay in
+what `keep_clean` returns and are ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -23,10 +23,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantaloom.llm._bytes import ALNUM, flat, pieces, words
+from quantaloom.llm._rows import ROW, unwrapped, wrapped
 from quantaloom.runtime import ship
 
 WINDOW = 13
@@ -116,13 +118,11 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, str | None]]]:
 
 
 def _scan(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """docs (all columns) with _n_words, _spans (flat start, end pairs of words) and _items so far."""
+    """Wrapped docs with n_words, spans (flat start, end pairs of words) and items."""
     ship(docs.sparkSession)
     context = docs.sparkSession.sparkContext
-    # positions, so that extra columns may have any name
-    names = [f"c{i}" for i in range(len(docs.columns))]
     text = docs.columns.index("text")
-    frame = docs.toDF(*names).withColumns({"_n_words": F.lit(0).cast("long"), "_spans": F.array().cast("array<long>"), "_items": F.array().cast("array<string>")})
+    frame = wrapped(docs, n_words=F.lit(0).cast("long"), spans=F.array().cast("array<long>"), items=F.array().cast("array<string>"))
     schema = frame.schema
     for rows in _blocks(benchmark):
         shared = context.broadcast(rows)
@@ -130,20 +130,19 @@ def _scan(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             tests = Tests(shared.value, window)
             for batch in batches:
-                batch_text = batch.column(text).fill_null("")
-                filled = batch.set_column(text, batch.schema.field(text), batch_text)
+                filled = pa.record_batch([pc.struct_field(batch.column(0), [text]).cast(pa.string()).fill_null("")], ["text"])
                 done = 0
-                for piece in pieces(filled, text):
+                for piece in pieces(filled, 0):
                     own = batch.slice(done, piece.num_rows)
                     done += piece.num_rows
-                    yield _mark(own, piece, text, tests)
+                    yield _mark(own, piece, tests)
 
         frame = frame.mapInArrow(run, schema)
-    return frame.toDF(*docs.columns, "_n_words", "_spans", "_items")
+    return frame
 
 
-def _mark(own: pa.RecordBatch, piece: pa.RecordBatch, text: int, tests: Tests) -> pa.RecordBatch:
-    data, offsets = flat(piece.column(text))
+def _mark(own: pa.RecordBatch, piece: pa.RecordBatch, tests: Tests) -> pa.RecordBatch:
+    data, offsets = flat(piece.column(0))
     _, _, hashes, first = words(data, offsets, ALNUM)
     edges = np.zeros(len(hashes) + 1, np.int64)
     items: dict[int, set[str]] = defaultdict(set)
@@ -164,33 +163,31 @@ def _mark(own: pa.RecordBatch, piece: pa.RecordBatch, text: int, tests: Tests) -
         covered = np.concatenate(([False], inside[first[i] : first[i + 1]], [False]))
         spans[i] = np.flatnonzero(covered[1:] != covered[:-1]).tolist()
         listed[i] = sorted({*listed[i], *items.get(i, ())})
-    n = own.num_columns
-    columns = [own.column(i) for i in range(n - 3)] + [pa.array(np.diff(first), pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(listed, pa.list_(pa.string()))]
+    columns = [own.column(0), pa.array(np.diff(first), pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(listed, pa.list_(pa.string()))]
     return pa.record_batch([c.cast(f.type) for c, f in zip(columns, own.schema, strict=True)], schema=own.schema)
 
 
 def _judged(marked: DataFrame) -> DataFrame:
-    pairs = F.transform(F.col("_spans"), lambda x, i: F.when(i % 2 == 0, -x).otherwise(x))
+    pairs = F.transform(F.col("spans"), lambda x, i: F.when(i % 2 == 0, -x).otherwise(x))
     hit = F.aggregate(pairs, F.lit(0).cast("long"), lambda a, x: a + x)
-    return marked.withColumn("_n_hit", hit).withColumn("_contaminated", (F.col("_n_hit") > 0) & (F.lit(20) * F.col("_n_hit") >= F.col("_n_words")))
+    return marked.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(20) * F.col("n_hit") >= F.col("n_words")))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: words, words hit, items found (count and digest of their ids) and the verdict."""
-    return _judged(_scan(docs.select("doc_id", "text"), benchmark, window)).select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("_n_words").alias("n_words"),
-        F.col("_n_hit").alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
-        F.col("_contaminated").alias("contaminated"),
+    return _judged(_scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, window)).select(
+        F.col(ROW).getField("doc_id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
     )
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    judged = _judged(_scan(docs, benchmark, window))
-    return judged.where(~F.col("_contaminated")).drop("_n_words", "_spans", "_items", "_n_hit", "_contaminated")
+    return unwrapped(_judged(_scan(docs, benchmark, window)).where(~F.col("contaminated")), docs.columns)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -14,8 +14,8 @@ rejected there.
 
 Null and empty texts have no words and fail. A null language is the stratum ''.
 Several labels of one document count as its lowest quality; null labels are
-ignored. Repeated document rows are judged one by one. Extra columns, whatever
-their names, stay in what `keep_good` returns.
+ignored. Repeated document rows are judged one by one, and count once, with their highest
+measures, where cutoffs are chosen. Extra columns, whatever their names, stay in what `keep_good` returns.
 """
 
 from __future__ import annotations
@@ -24,14 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantaloom.runtime import cut
+from quantaloom.llm._rows import unwrapped, wrapped
+from quantaloom.runtime import cut, save
 
 #: Share of a stratum's good documents that all rules together may reject, and the risk of being wrong.
 ALPHA, DELTA = 0.03, 0.05
 #: Strata beyond so many are joined by a shuffle and not by a broadcast.
 BROADCAST_STRATA = 10_000
-#: Terms of a binomial tail summed exactly; beyond, Chernoff's bound, which is never smaller, stands in.
-EXACT_TERMS = 100_000
+#: Terms of a binomial tail that are listed at once.
+TERMS = 100_000
 
 SPACE = r"[ \t-\r]"
 WINDOW = 8
@@ -113,9 +114,11 @@ def _rules(prefix: str = "") -> dict[str, Column]:
 
 
 def binomial_tail(lost: Column, good: Column, rate: Column) -> Column:
-    """P(X <= lost) for X ~ Binomial(good, rate): exact, by its logarithmic recurrence."""
+    """P(X <= lost) for X ~ Binomial(good, rate), by the logarithms of all its terms, TERMS of them at a time.
+
+    Far above the mean the tail is 1 to the last digit and its terms are not summed.
+    """
     odds = F.log(rate / (F.lit(1.0) - rate))
-    terms = F.least(lost, F.lit(EXACT_TERMS)).cast("int")
     start = F.struct((good * F.log1p(-rate)).alias("t"), (good * F.log1p(-rate)).alias("s"))
 
     def step(a: Column, i: Column) -> Column:
@@ -123,17 +126,21 @@ def binomial_tail(lost: Column, good: Column, rate: Column) -> Column:
         top = F.greatest(t, a["s"])
         return F.struct(t.alias("t"), (top + F.log(F.exp(t - top) + F.exp(a["s"] - top))).alias("s"))
 
-    exact = F.exp(F.when(terms < 1, start["s"]).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(terms, F.lit(1))), start, step)["s"]))
-    share = lost / good
-    chernoff = F.when(share >= rate, F.lit(1.0)).otherwise(F.exp(-good * (share * F.log(share / rate) + (F.lit(1.0) - share) * F.log((F.lit(1.0) - share) / (F.lit(1.0) - rate)))))
-    return F.when(good <= 0, F.lit(1.0)).when(lost <= EXACT_TERMS, exact).otherwise(chernoff)
+    def block(a: Column, low: Column) -> Column:
+        return F.aggregate(F.sequence(low, F.least(low + (TERMS - 1), lost)), a, step)
+
+    blocks = F.sequence(F.lit(1).cast("long"), F.greatest(lost, F.lit(1)), F.lit(TERMS).cast("long"))
+    tail = F.exp(F.when(lost < 1, start["s"]).otherwise(F.aggregate(blocks, start, block)["s"]))
+    return F.when((good <= 0) | (lost > 4 * good * rate + 100), F.lit(1.0)).otherwise(tail)
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, prefix: str = "", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Stratum -> one cutoff per rule (null: none is safe), from documents with measures and labels."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     rows = measured.select("doc_id", F.coalesce(F.col("lang"), F.lit("")).alias("stratum"), _failed(prefix).alias("failed"), *(v.alias(k) for k, v in _rules(prefix).items()))
-    good = rows.join(known, "doc_id").where("_quality = 1 and not failed")
+    # a document is one trial however often its row stands there
+    rows = rows.join(known.where("_quality = 1"), "doc_id").groupBy("doc_id").agg(F.min("stratum").alias("stratum"), F.bool_or("failed").alias("failed"), *(F.max(rule).alias(rule) for rule in LADDERS))
+    good = rows.where("not failed")
     counts = good.groupBy("stratum").agg(F.count(F.lit(1)).alias("good"), *(F.count_if(F.col(rule) > level).alias(f"{rule}_{i}") for rule, ladder in LADDERS.items() for i, level in enumerate(ladder)))
     strata = F.count(F.lit(1)).over(_everything())
     counts = counts.withColumn("strata", strata)
@@ -174,10 +181,6 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns. Measures twice and never moves a text."""
-    own = "_quality_"
-    measured = cut(measure(docs.select("doc_id", "text", "lang"), own).drop("text"))
-    chosen = cutoffs(measured, labels, own)
-    # a row number keeps the filter above the measures; pushed below, it would repeat them inside itself
-    once = measure(docs, own).withColumn("_m_row", F.monotonically_increasing_id())
-    return _judged(once, chosen, own).where(F.col("_kept") & (F.col("_m_row") >= 0)).select(*docs.columns)
+    """The documents that pass, with all their columns. Texts are measured once and written beside their measures."""
+    measured = save(measure(wrapped(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text"), lang=F.col("lang"))).drop("text"))
+    return unwrapped(_judged(measured, cutoffs(measured, labels)).where("_kept"), docs.columns)

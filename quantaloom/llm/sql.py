@@ -35,6 +35,7 @@ def _op6() -> str:
     assert set(values) == set(quality.LADDERS)
     rungs = ", ".join(f"('{rule}', {i}, {level}::DOUBLE)" for rule, ladder in quality.LADDERS.items() for i, level in enumerate(ladder))
     rate, rules = quality.ALPHA / len(quality.LADDERS), len(quality.LADDERS)
+    held = "CASE rule " + " ".join(f"WHEN '{r}' THEN {r}" for r in values) + " END"
     value = "CASE rule " + " ".join(f"WHEN '{r}' THEN {v}" for r, v in values.items()) + " END"
     return f"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
 grams AS (SELECT k, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT k, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
@@ -44,9 +45,10 @@ lines AS (SELECT k, list_filter(string_split(t, chr(10)), lambda l: regexp_match
 m AS (SELECT d.k, doc_id, stratum, len(w)::BIGINT AS n_words, (length(t) - len(regexp_extract_all(t, '[ \\t-\\r]')))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
   (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines, len(regexp_extract_all(t, '[A-Z!]{{2}}')) AS n_upper FROM d JOIN lines USING (k) LEFT JOIN rep USING (k)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
-good AS (SELECT b.* FROM b JOIN (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE q = 1 AND NOT base_failed),
+good AS (SELECT doc_id, min(stratum) AS stratum, {", ".join(f"max({v}) AS {r}" for r, v in values.items())} FROM b JOIN (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id)
+  WHERE q = 1 GROUP BY doc_id HAVING NOT bool_or(base_failed)),
 rungs(rule, step, level) AS (VALUES {rungs}), strata AS (SELECT count(DISTINCT stratum) AS s FROM good),
-lost AS (SELECT stratum, rule, step, level, count(*) AS n, count(*) FILTER ({value} > level) AS x FROM good, rungs GROUP BY ALL),
+lost AS (SELECT stratum, rule, step, level, count(*) AS n, count(*) FILTER ({held} > level) AS x FROM good, rungs GROUP BY ALL),
 tail AS (SELECT *, list_sum(list_transform(range(0, x + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({rate!r}::DOUBLE) + (n - i) * ln(1 - {rate!r}::DOUBLE)))) <= {quality.DELTA!r} / (s * {rules}) AS safe FROM lost, strata),
 cut AS (SELECT stratum, rule, min(level) AS level FROM tail t WHERE safe AND NOT EXISTS (SELECT 1 FROM tail u WHERE u.stratum = t.stratum AND u.rule = t.rule AND u.step < t.step AND NOT u.safe) GROUP BY stratum, rule),
 gone AS (SELECT DISTINCT k FROM b JOIN cut USING (stratum) WHERE {value} > level)

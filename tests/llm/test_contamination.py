@@ -72,3 +72,14 @@ def test_empty_tables(spark):
     tests = spark.createDataFrame([], "item_id long, text string")
     assert contamination.report(docs, tests).collect()[0]["contaminated"] is False
     assert contamination.report(docs.limit(0), tests).collect() == []
+
+
+def test_names_clash(spark):
+    docs, items = fixture()
+    names = ["_n_words", "_spans", "_items", "_n_hit", "_contaminated", "_row", "n_words", "spans", "contaminated"]
+    frame = spark.createDataFrame([(i, t, *range(len(names))) for i, t in docs], f"doc_id long, text string, {', '.join(f'{n} int' for n in names)}")
+    clean = contamination.keep_clean(frame, spark.createDataFrame(items, "item_id long, text string"))
+    assert clean.columns == frame.columns
+    got = clean.collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(r[0] for r in brute(docs, items) if not r[-1])
+    assert {tuple(r)[2:] for r in got} == {tuple(range(len(names)))}

@@ -73,3 +73,25 @@ def test_empty(spark):
     assert quality.report(docs, labels).collect() == []
     one = spark.createDataFrame([(1, good(1), None)], docs.schema)
     assert quality.report(one, labels).first()["kept"] is True
+
+
+def test_names_clash(spark):
+    names = ["_kept", "_m_row", "_m_words", "_stratum", "_quality_n_words", "_row", "n_words", "_cut_symbols"]
+    docs = spark.createDataFrame([(1, good(1), "en", *range(len(names))), (2, "short", "en", *range(len(names)))], f"doc_id long, text string, lang string, {', '.join(f'{n} long' for n in names)}")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    assert [tuple(r) for r in kept.collect()] == [(1, good(1), "en", *range(len(names)))]
+
+
+def test_repeated_rows_are_one_trial(spark):
+    rows = [(i, good(i), "en") for i in range(300)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    once, often = (quality.cutoffs(quality.measure(spark.createDataFrame(x, "doc_id long, text string, lang string")), labels).collect() for x in (rows, rows * 8))
+    assert once == often and once[0]["_cut_symbols"] is None
+
+
+def test_long_tail_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TERMS", 7)
+    test_binomial_tail(spark, 1000, 25, 0.01)
+    test_binomial_tail(spark, 200, 3, 0.02)

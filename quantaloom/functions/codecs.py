@@ -46,21 +46,22 @@ def truncated(x: Column) -> Column:
     return x.cast("int")
 
 
-def _minifloat(x: Column, low: int, mantissa: int, top: float) -> Column:
-    """The nearest value (half to even) of a float of that lowest exponent and mantissa; saturates at top."""
+def _minifloat(x: Column, low: int, mantissa: int, top: float, saturate: bool = True) -> Column:
+    """The nearest value (half to even) of a float of that lowest exponent and mantissa; beyond top, top or infinity."""
     d = x.cast("double")
     unit = exp2(F.greatest(exponent(d), F.lit(low)) - F.lit(mantissa))
-    near = F.least(F.rint(F.abs(d) / unit) * unit, F.lit(top))
+    near = F.rint(F.abs(d) / unit) * unit
+    near = F.when(near > top, F.lit(top if saturate else float("inf"))).otherwise(near)
     return F.when(d == 0, F.lit(0.0)).otherwise(F.signum(d) * near)
 
 
 def f16(x: Column) -> Column:
-    """To half precision and back; magnitudes above 65504 saturate."""
-    return f32(_minifloat(x, -14, 10, 65504.0))
+    """To half precision and back; what rounds above 65504 is infinite."""
+    return f32(_minifloat(x, -14, 10, 65504.0, saturate=False))
 
 
 def bf16(x: Column) -> Column:
-    return f32(_minifloat(x, -126, 7, 3.3895313892515355e38))
+    return f32(_minifloat(x, -126, 7, 3.3895313892515355e38, saturate=False))
 
 
 def e4m3(x: Column) -> Column:

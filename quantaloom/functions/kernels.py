@@ -571,9 +571,17 @@ def e8m0_value(code: np.ndarray) -> np.ndarray:
 
 
 def ue4m3(x: np.ndarray) -> np.ndarray:
-    """Unsigned E4M3 code of a scale: ties go up, 448 at most."""
-    size = np.clip(np.nan_to_num(x.astype(np.float64)), 0, 448)
-    return np.searchsorted((E4M3[1:] + E4M3[:-1]) / 2, size, "right").astype(np.uint8)
+    """Unsigned E4M3 code of a scale: ties go up; from 256 on, where the exponent would be the highest, 0x7E."""
+    size = np.where(x > 0, np.minimum(x, f4(448)), 0).astype(f4)
+    bits = size.view(np.uint32)
+    normal = (bits >> np.uint32(20)).astype(np.int64) + (bits >> np.uint32(19) & np.uint32(1)) - (120 << 3)
+    small = np.clip(np.floor(size * f4(512) + f4(0.5)), 0, 7)
+    return np.where(normal < 8, small, np.where(normal >= 0x78, 0x7E, normal)).astype(np.uint8)
+
+
+def ue4m3_value(code: np.ndarray) -> np.ndarray:
+    """The scale of a code; the code that would be no number is 0."""
+    return np.where(code >= 0x7F, 0, E4M3[np.minimum(code, 0x7E)]).astype(f4)
 
 
 def _mx_error(x, s, w):
@@ -581,9 +589,15 @@ def _mx_error(x, s, w):
     return (w * (x.astype(np.float64) - q.astype(np.float64) * s[:, None]) ** 2).sum(axis=1)
 
 
-def _mx_exponent(x, drop, g=None, refine=False):
+def _mx_exponent(x, drop, g=None, refine=False, no_clip=False):
+    """The shared exponent of a block: that of its largest value less drop, or (no_clip) the least under which 6 holds it."""
     top = np.abs(x).max(axis=1)
-    e = np.where((top > 0) & np.isfinite(top), np.clip(e8m0(top) - drop, 0, 254), 0)
+    base = e8m0(top) - drop
+    if no_clip:
+        goal = top / f4(6)
+        base = e8m0(goal)
+        base = base + (e8m0_value(np.clip(base, 0, 254)) < goal)
+    e = np.where((top > 0) & np.isfinite(top), np.clip(base, 0, 254), 0)
     if refine:
         w = np.ones(x.shape) if g is None else np.maximum(g, 1e-12)
         best = _mx_error(x, e8m0_value(e), w)
@@ -596,13 +610,13 @@ def _mx_exponent(x, drop, g=None, refine=False):
     return e
 
 
-def _mxfp4(x, g=None, refine=False):
-    e = _mx_exponent(x, 2, g, refine)
+def _mxfp4(x, g=None, refine=False, no_clip=False):
+    e = _mx_exponent(x, 2, g, refine, no_clip)
     return e, encode_mini(x * _inverse(e8m0_value(e))[:, None], E2M1, "down")
 
 
-def enc_mxfp4(x, g=None, refine=False):
-    e, q = _mxfp4(x, g, refine)
+def enc_mxfp4(x, g=None, refine=False, no_clip=False):
+    e, q = _mxfp4(x, g, refine, no_clip)
     return _join(e[:, None], _nibbles(q.astype(np.int32)))
 
 
@@ -610,8 +624,8 @@ def dec_mxfp4(b):
     return decode_mini(_unnibbles(b[:, 1:]), E2M1) * e8m0_value(b[:, 0])[:, None]
 
 
-def enc_mxfp4_ocp(x, g=None, refine=False):
-    e, q = _mxfp4(x, g, refine)
+def enc_mxfp4_ocp(x, g=None, refine=False, no_clip=False):
+    e, q = _mxfp4(x, g, refine, no_clip)
     return _join(_adjacent(q.astype(np.int32)), e[:, None])
 
 
@@ -631,13 +645,13 @@ def dec_mxfp8(b):
 def enc_nvfp4_gguf(x, g=None):
     parts = _sub(x, 16)
     s = ue4m3(np.abs(parts).max(axis=1) / f4(6))
-    inv = _inverse(E4M3[s].astype(f4))
+    inv = _inverse(ue4m3_value(s))
     q = encode_mini(parts * inv[:, None], E2M1, "down").astype(np.int32)
     return _join(s.reshape(len(x), 4), _nibbles(q).reshape(len(x), 32))
 
 
 def dec_nvfp4_gguf(b):
-    s = E4M3[np.minimum(b[:, :4], 0x7E)].astype(f4).reshape(-1)
+    s = ue4m3_value(b[:, :4]).reshape(-1)
     q = _unnibbles(np.ascontiguousarray(b[:, 4:]).reshape(-1, 8))
     return (decode_mini(q, E2M1) * s[:, None]).reshape(len(b), 64)
 

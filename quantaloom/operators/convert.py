@@ -12,35 +12,36 @@ from pyspark.sql import functions as F
 from quantaloom.functions import formats as fm
 
 
-def pack_class(name: Column, rank: Column) -> Column:
-    """What packing does with a tensor: passthrough, expert, embed_head or attention, in this order of rules."""
-    has = lambda *parts: F.lit(False) if not parts else _any(name, parts)
+#: What packing leaves as it is, by role.
+KEPT_ROLES = ("vector", "vision", "router", "shared_expert", "conv1d")
+
+
+def pack_role(name: Column, rank: Column) -> Column:
+    """A tensor's part in packing, by the first rule that holds. Names are matched at their ends or between dots."""
     return (
-        F.when((rank < 2) | has("visual", "vision") | name.rlike(r"(mlp|ffn)\.gate\.weight$") | has("router", "shared_expert", "conv1d"), "passthrough")
-        .when(has("experts"), "expert")
-        .when(has("embed_tokens", "lm_head"), "embed_head")
+        F.when(rank < 2, "vector")
+        .when(name.startswith("model.visual.") | name.contains(".visual."), "vision")
+        .when(name.endswith("mlp.gate.weight"), "router")
+        .when(name.contains(".shared_expert."), "shared_expert")
+        .when(name.endswith("conv1d.weight"), "conv1d")
+        .when(name.endswith("mlp.experts.gate_up_proj") | name.endswith("mlp.experts.down_proj"), "expert")
+        .when(name.endswith("embed_tokens.weight") | name.endswith("lm_head.weight"), "embed_head")
         .otherwise("attention")
     )
 
 
-def _any(name: Column, parts: tuple[str, ...]) -> Column:
-    out = name.contains(parts[0])
-    for p in parts[1:]:
-        out = out | name.contains(p)
-    return out
-
-
 def pack_plan(tensors: DataFrame, expert: str = "Q4_K", other: str = "Q6_K", head: str = "Q6_K") -> DataFrame:
-    """tensors (name, dims, type_id) with class, rows, cols, target, actual format after fallback and packed bytes.
+    """tensors (name, dims, type_id) with role, class, rows, cols, target, actual format after fallback and packed bytes.
 
     Leading dimensions fold into rows; what is not a float is passed through and marked.
     """
     from quantaloom.operators.catalog import with_bytes, with_sizes
 
     sized = with_bytes(with_sizes(tensors))
-    kind = pack_class(F.col("name"), F.size("dims"))
+    role = pack_role(F.col("name"), F.size("dims"))
     floats = F.col("type_name").isin(*fm.FLOATS)
-    sized = sized.withColumns({"pack_class": F.when(floats, kind).otherwise("passthrough"), "warning": ~floats & (kind != "passthrough")})
+    kept = role.isin(*KEPT_ROLES)
+    sized = sized.withColumns({"pack_role": role, "pack_class": F.when(kept | ~floats, "passthrough").otherwise(role), "warning": ~floats & ~kept})
     target = F.when(F.col("pack_class") == "expert", fm.ID[expert]).when(F.col("pack_class") == "embed_head", fm.ID[head]).when(F.col("pack_class") == "attention", fm.ID[other]).otherwise(F.col("type_id"))
     placed = fm.with_fallback(sized.withColumn("target_id", target), "target_id")
     packed = F.when(F.col("pack_class") == "passthrough", F.col("nbytes")).otherwise(fm.packed_bytes(F.col("n_elems"), F.col("actual_block"), F.col("actual_block_bytes")))
@@ -55,6 +56,18 @@ def pack_report(plan: DataFrame) -> DataFrame:
     return out.withColumn("ratio", F.round(F.col("packed_bytes") / F.col("source_bytes"), 6))
 
 
+def pack_totals(plan: DataFrame) -> DataFrame:
+    """One row: tensors, source and packed bytes, how many times smaller, and the bytes a text-only reader touches."""
+    touched = F.sum(F.when(F.col("pack_role") != "vision", F.col("packed_bytes")).otherwise(F.lit(0)))
+    out = plan.agg(F.count(F.lit(1)).alias("tensors"), F.sum("nbytes").alias("source_bytes"), F.sum("packed_bytes").alias("packed_bytes"), touched.alias("resident_bytes"))
+    return out.withColumn("smaller", F.round(F.col("source_bytes") / F.col("packed_bytes"), 6))
+
+
+def pack_fallbacks(plan: DataFrame) -> DataFrame:
+    """Tensors whose width did not fit their format's blocks, by width and the format taken."""
+    return plan.where(F.col("fell_back") & (F.col("pack_class") != "passthrough")).groupBy("cols", "actual_name").agg(F.count(F.lit(1)).alias("tensors"))
+
+
 def shard_plan(tensors: DataFrame, limit: int) -> DataFrame:
     """pos, name, bytes with the shard each goes to: a new one when the next would pass limit and the shard is not empty.
 
@@ -101,36 +114,69 @@ def fnv1a(text: str) -> int:
     return h
 
 
-def router_values(name: str, n: int, amplitude: float) -> np.ndarray:
-    """Deterministic values in (-amplitude, amplitude) by xorshift64, seeded by the name."""
-    state, out = max(fnv1a(name), 1), np.empty(n, np.float32)
+def router_values(prefix: str, n: int, amplitude: float) -> np.ndarray:
+    """Deterministic values in [-amplitude, amplitude] by xorshift64, seeded by the layer's prefix."""
+    state, out = max(fnv1a(prefix), 1), np.empty(n, np.float32)
     for i in range(n):
         state ^= state << 13 & 0xFFFFFFFFFFFFFFFF
         state ^= state >> 7
         state ^= state << 17 & 0xFFFFFFFFFFFFFFFF
-        u = np.float32(state >> 40) / np.float32(1 << 24)
-        out[i] = (np.float32(2) * u - np.float32(1)) * np.float32(amplitude)
+        unit = np.float32(state >> 40) / np.float32((1 << 24) - 1)
+        out[i] = (unit * np.float32(2) - np.float32(1)) * np.float32(amplitude)
     return out
 
 
+def text_part(config: dict) -> dict:
+    """The part of a config that describes the language model: itself, or its text_config."""
+    return config["text_config"] if isinstance(config.get("text_config"), dict) else config
+
+
+def _positive(text: dict, key: str) -> int:
+    value = text.get(key)
+    if not isinstance(value, int) or value <= 0:
+        raise ValueError(f"{key} must be a positive integer")
+    return value
+
+
 def migrate_config(config: dict, experts: int, used: int, family: str, moe_family: str) -> dict:
-    """A dense model's config as that of an expert model; others are refused."""
+    """A dense model's config (plain, or with text_config and vision_config) as that of an expert model; others are refused."""
     if "quantization_config" in config:
         raise ValueError("a quantized model cannot be converted")
     if config.get("model_type") != family:
         raise ValueError(f"model_type is {config.get('model_type')!r}, not {family!r}")
-    width = config["intermediate_size"]
+    out = json.loads(json.dumps(config))
+    text = text_part(out)
+    if text is not out:
+        vision = out.get("vision_config")
+        if text.get("model_type") != f"{family}_text":
+            raise ValueError(f"text_config is of {text.get('model_type')!r}, not {family}_text")
+        if not isinstance(vision, dict) or vision.get("model_type") not in (family, f"{family}_vision"):
+            raise ValueError("vision_config is missing or of another family")
+        vision["model_type"] = moe_family
+        text["model_type"] = f"{moe_family}_text"
+    out["model_type"] = moe_family
+    layers, width = _positive(text, "num_hidden_layers"), _positive(text, "intermediate_size")
+    _positive(text, "hidden_size")
+    spread = text.get("initializer_range", 0.02)
+    if not 0 < spread < float("inf"):
+        raise ValueError("initializer_range must be positive and finite")
+    kinds = text.get("layer_types")
+    if kinds is not None and (len(kinds) != layers or not set(kinds) <= {"full_attention", "linear_attention"}):
+        raise ValueError(f"layer_types does not name the attention of {layers} layers")
     if width % experts:
         raise ValueError(f"{experts} experts do not divide {width} units")
-    out = json.loads(json.dumps(config))
-    out |= {"model_type": moe_family, "num_experts": experts, "num_experts_per_tok": used, "moe_intermediate_size": width // experts}
+    del text["intermediate_size"]
+    text |= {"num_experts": experts, "num_experts_per_tok": used, "moe_intermediate_size": width // experts, "shared_expert_intermediate_size": 1, "output_router_logits": True, "router_aux_loss_coef": 0.001}
     if "architectures" in out:
-        out["architectures"] = [a.replace("ForCausalLM", "MoeForCausalLM") for a in out["architectures"]]
+        out["architectures"] = [a if "Moe" in a else a.replace("For", "MoeFor", 1) for a in out["architectures"]]
     return out
 
 
 def moe_plan(tensors: DataFrame, experts: int, hidden: int, width: int) -> DataFrame:
-    """Output tensors of a conversion: copies, and per layer packed gate_up, down and a new router, with dims and action."""
+    """Output tensors of a conversion, with dims and action.
+
+    Copies, and per layer packed gate_up and down, a new router, and a shared expert of one unit and its gate, all zero.
+    """
     pattern = r"^(.*layers\.([0-9]+)\.mlp)\.(gate|up|down)_proj\.weight$"
     stem = F.regexp_extract("name", pattern, 1)
     dense = tensors.where(F.col("name").rlike(pattern)).select(stem.alias("stem"), F.regexp_extract("name", pattern, 3).alias("part"), "dims", "type_id")
@@ -142,7 +188,8 @@ def moe_plan(tensors: DataFrame, experts: int, hidden: int, width: int) -> DataF
             F.array(
                 *(
                     F.struct(F.concat(sound, F.lit(end)).alias("name"), F.array(*(F.lit(d).cast("long") for d in dims)).alias("dims"), F.col("type_id").alias("type_id"), F.lit(action).alias("action"))
-                    for end, dims, action in ((".experts.gate_up_proj", (experts, 2 * small, hidden), "split_rows"), (".experts.down_proj", (experts, hidden, small), "split_cols"), (".gate.weight", (experts, hidden), "router"))
+                    for end, dims, action in ((".experts.gate_up_proj", (experts, 2 * small, hidden), "split_rows"), (".experts.down_proj", (experts, hidden, small), "split_cols"), (".gate.weight", (experts, hidden), "router"),
+                        (".shared_expert.gate_proj.weight", (1, hidden), "zeros"), (".shared_expert.up_proj.weight", (1, hidden), "zeros"), (".shared_expert.down_proj.weight", (hidden, 1), "zeros"), (".shared_expert_gate.weight", (1, hidden), "zeros"))
                 )
             )
         ).alias("t")
@@ -174,5 +221,5 @@ def attention_layout(names: DataFrame, n_layers: int, declared: list[str]) -> Da
 
 def manifest(plan: DataFrame) -> DataFrame:
     """One row of JSON: every packed tensor with format, id, shape and bytes."""
-    one = F.struct(F.col("actual_name").alias("format"), F.col("actual_id").alias("type_id"), F.col("dims").alias("shape"), "rows", "cols", F.col("packed_bytes").alias("nbytes"))
+    one = F.struct(F.col("actual_name").alias("format"), F.col("actual_id").alias("type_id"), F.col("dims").alias("shape"), "rows", "cols", F.expr("packed_bytes div rows").alias("row_bytes"), F.col("packed_bytes").alias("nbytes"))
     return plan.where("pack_class <> 'passthrough'").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", one))))).alias("manifest"))

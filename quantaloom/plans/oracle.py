@@ -151,12 +151,14 @@ CAPTURES = f"""{coded("Q4_0")}, l AS (SELECT r AS pos, c, x::DOUBLE * 8 AS a, v:
 z AS (SELECT pos, max(a) AS ma, max(b) AS mb FROM l GROUP BY pos), lse AS (SELECT pos, any_value(ma) + ln(sum(exp(a - ma))) AS la, any_value(mb) + ln(sum(exp(b - mb))) AS lb FROM l JOIN z USING (pos) GROUP BY pos),
 p AS (SELECT pos, c, a, b, a - la AS p, b - lb AS q FROM l JOIN lse USING (pos)),
 dv AS (SELECT pos, greatest(sum(exp(p) * (p - q)), 0) AS kl, arg_max(c, (p, -c)) = arg_max(c, (q, -c)) AS same_top, CASE WHEN pos % 10 <> 3 THEN max(CASE WHEN c = pos % 64 THEN p END) END AS lp_ref, CASE WHEN pos % 10 <> 3 THEN max(CASE WHEN c = pos % 64 THEN q END) END AS lp_cand FROM p GROUP BY pos)"""
-_HF = f"""hf AS (SELECT p_partkey AS pos, CASE WHEN p_partkey % 29 = 0 THEN 'lm_head.weight' WHEN p_partkey % 31 = 0 THEN 'visual.blocks.' || p_partkey || '.proj.weight'
-  ELSE 'model.layers.' || (p_partkey % 24) || '.' || ['self_attn.q_proj.weight', 'mlp.experts.gate_up_proj', 'mlp.experts.down_proj', 'mlp.gate.weight', 'input_layernorm.weight', 'linear_attn.conv1d.weight', 'mlp.shared_expert.up_proj.weight'][p_partkey % 7 + 1] END AS name,
+_HF = f"""hf AS (SELECT p_partkey AS pos, CASE WHEN p_partkey % 29 = 0 THEN 'lm_head.weight' WHEN p_partkey % 31 = 0 THEN 'model.visual.blocks.' || p_partkey || '.proj.weight'
+  ELSE 'model.layers.' || (p_partkey % 24) || '.' || ['self_attn.q_proj.weight', 'mlp.experts.gate_up_proj', 'mlp.experts.down_proj', 'mlp.gate.weight', 'input_layernorm.weight', 'linear_attn.conv1d.weight', 'mlp.shared_expert.up_proj.weight', 'mlp.shared_expert_gate.weight'][p_partkey % 8 + 1] END AS name,
   CAST(p_size AS BIGINT) AS y, CAST({_list(inputs.COLS)}[p_partkey % 5 + 3] AS BIGINT) AS x, CASE WHEN p_partkey % 37 = 0 THEN 8 ELSE 30 END AS type_id FROM part),
 hd AS (SELECT *, CASE WHEN name LIKE '%layernorm%' THEN 1 WHEN name LIKE '%experts%' THEN 3 ELSE 2 END AS rank, CASE WHEN name LIKE '%layernorm%' THEN 1 WHEN name LIKE '%experts%' THEN 4 * y ELSE y END AS nrows FROM hf)"""
-PACK = f"""{_HF}, {FORMATS}, a AS (SELECT hd.*, nrows * x AS n, type_name, is_float, CASE WHEN rank < 2 OR name LIKE '%visual%' OR name LIKE '%vision%' OR regexp_matches(name, '(mlp|ffn)\\.gate\\.weight$') OR name LIKE '%router%' OR name LIKE '%shared\\_expert%' ESCAPE '\\' OR name LIKE '%conv1d%' THEN 'passthrough'
-  WHEN name LIKE '%experts%' THEN 'expert' WHEN name LIKE '%embed\\_tokens%' ESCAPE '\\' OR name LIKE '%lm\\_head%' ESCAPE '\\' THEN 'embed_head' ELSE 'attention' END AS kind, nrows * x // block * block_bytes AS nbytes FROM hd JOIN formats USING (type_id) WHERE type_id = 30 OR x % 32 = 0),
+PACK = f"""{_HF}, {FORMATS}, a AS (SELECT hd.*, nrows * x AS n, type_name, is_float, CASE WHEN rank < 2 THEN 'vector' WHEN starts_with(name, 'model.visual.') OR contains(name, '.visual.') THEN 'vision' WHEN ends_with(name, 'mlp.gate.weight') THEN 'router'
+  WHEN contains(name, '.shared_expert.') THEN 'shared_expert' WHEN ends_with(name, 'conv1d.weight') THEN 'conv1d' WHEN ends_with(name, 'mlp.experts.gate_up_proj') OR ends_with(name, 'mlp.experts.down_proj') THEN 'expert'
+  WHEN ends_with(name, 'embed_tokens.weight') OR ends_with(name, 'lm_head.weight') THEN 'embed_head' ELSE 'attention' END AS pack_role,
+  CASE WHEN pack_role IN ('vector', 'vision', 'router', 'shared_expert', 'conv1d') THEN 'passthrough' ELSE pack_role END AS kind, nrows * x // block * block_bytes AS nbytes FROM hd JOIN formats USING (type_id)),
 t AS (SELECT *, CASE WHEN is_float THEN kind ELSE 'passthrough' END AS pack_class, NOT is_float AND kind <> 'passthrough' AS warning, CASE WHEN NOT is_float OR kind = 'passthrough' THEN type_id WHEN kind = 'expert' THEN 12 ELSE 14 END AS target FROM a),
 f AS (SELECT t.*, x % g.block <> 0 AS fell_back, CASE WHEN x % g.block = 0 THEN target WHEN x % h.block = 0 THEN g.primary_id ELSE 1 END AS actual_id FROM t JOIN formats g ON g.type_id = target JOIN formats h ON h.type_id = g.primary_id),
 plan AS (SELECT f.*, u.type_name AS actual_name, CASE WHEN pack_class = 'passthrough' THEN nbytes ELSE n // u.block * u.block_bytes END AS packed_bytes FROM f JOIN formats u ON u.type_id = actual_id)"""
@@ -233,7 +235,9 @@ sc AS (SELECT sum(measured) / sum(cost) FILTER (measured IS NOT NULL) AS s FROM
         "shard_plan": f"""WITH RECURSIVE {TAGGED}, o AS (SELECT row_number() OVER (ORDER BY pos) AS i, pos, nbytes FROM sized),
 fold AS (SELECT i, pos, nbytes, 0 AS shard, nbytes AS filled FROM o WHERE i = 1 UNION ALL SELECT o.i, o.pos, o.nbytes, CASE WHEN filled + o.nbytes > 2000000 THEN shard + 1 ELSE shard END, CASE WHEN filled + o.nbytes > 2000000 THEN o.nbytes ELSE filled + o.nbytes END FROM fold JOIN o ON o.i = fold.i + 1)
 SELECT shard, count(*) AS tensors, CAST(sum(nbytes) AS BIGINT) AS bytes, min(pos) AS first FROM fold GROUP BY shard""",
-        "pack_plan": f"WITH {PACK} SELECT pos, name, pack_class, nrows AS \"rows\", x AS cols, actual_name, fell_back, packed_bytes, warning FROM plan",
+        "pack_totals": f"WITH {PACK} SELECT count(*) AS tensors, CAST(sum(nbytes) AS BIGINT) AS source_bytes, CAST(sum(packed_bytes) AS BIGINT) AS packed_bytes, CAST(sum(CASE WHEN pack_role <> 'vision' THEN packed_bytes ELSE 0 END) AS BIGINT) AS resident_bytes, round(sum(nbytes)::DOUBLE / sum(packed_bytes)::DOUBLE, 6) AS smaller FROM plan",
+        "pack_fallbacks": f"WITH {PACK} SELECT x AS cols, actual_name, count(*) AS tensors FROM plan WHERE fell_back AND pack_class <> 'passthrough' GROUP BY ALL",
+        "pack_plan": f"WITH {PACK} SELECT pos, name, pack_role, pack_class, nrows AS \"rows\", x AS cols, actual_name, fell_back, packed_bytes, warning FROM plan",
         "pack_report": f"""WITH {PACK}, g AS (SELECT pack_class, actual_name, count(*) AS n, sum(nbytes) AS s, sum(packed_bytes) AS p, count(*) FILTER (fell_back) AS f FROM plan GROUP BY ALL)
 SELECT pack_class, CAST(sum(n) AS BIGINT) AS tensors, CAST(sum(s) AS BIGINT) AS source_bytes, CAST(sum(p) AS BIGINT) AS packed_bytes, CAST(sum(f) AS BIGINT) AS fell_back, '{{' || string_agg('"' || actual_name || '":' || n, ',' ORDER BY actual_name) || '}}' AS formats, round(sum(p)::DOUBLE / sum(s)::DOUBLE, 6) AS ratio FROM g GROUP BY pack_class""",
         "aligned_offsets": f"WITH {TAGGED} SELECT pos, name, nbytes AS bytes, CAST(coalesce(sum((nbytes + 31) // 32 * 32) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM sized",

@@ -257,8 +257,8 @@ def sens_apply(spark, d):
 
 def _hf(spark, d):
     k = F.col("p_partkey")
-    part = F.element_at(F.array(*map(F.lit, ["self_attn.q_proj.weight", "mlp.experts.gate_up_proj", "mlp.experts.down_proj", "mlp.gate.weight", "input_layernorm.weight", "linear_attn.conv1d.weight", "mlp.shared_expert.up_proj.weight"])), (k % 7 + 1).cast("int"))
-    name = F.when(k % 29 == 0, "lm_head.weight").when(k % 31 == 0, F.concat(F.lit("visual.blocks."), k.cast("string"), F.lit(".proj.weight"))).otherwise(F.concat(F.lit("model.layers."), (k % 24).cast("string"), F.lit("."), part))
+    part = F.element_at(F.array(*map(F.lit, ["self_attn.q_proj.weight", "mlp.experts.gate_up_proj", "mlp.experts.down_proj", "mlp.gate.weight", "input_layernorm.weight", "linear_attn.conv1d.weight", "mlp.shared_expert.up_proj.weight", "mlp.shared_expert_gate.weight"])), (k % 8 + 1).cast("int"))
+    name = F.when(k % 29 == 0, "lm_head.weight").when(k % 31 == 0, F.concat(F.lit("model.visual.blocks."), k.cast("string"), F.lit(".proj.weight"))).otherwise(F.concat(F.lit("model.layers."), (k % 24).cast("string"), F.lit("."), part))
     rows, cols = F.col("p_size").cast("long"), F.element_at(F.array(*map(F.lit, inputs.COLS)), (k % 5 + 3).cast("int")).cast("long")
     dims = F.when(name.contains("layernorm"), F.array(cols)).when(name.contains("experts"), F.array(F.lit(4).cast("long"), rows, cols)).otherwise(F.array(rows, cols))
     return table(spark, d, "part").select(k.alias("pos"), name.alias("name"), dims.alias("dims"), F.when(k % 37 == 0, F.lit(8)).otherwise(F.lit(30)).alias("type_id"))
@@ -266,13 +266,23 @@ def _hf(spark, d):
 
 @query
 def pack_plan(spark, d):
-    p = convert.pack_plan(_hf(spark, d).where("type_id = 30 or element_at(dims, -1) % 32 = 0"))
-    return p.select("pos", "name", "pack_class", "rows", "cols", "actual_name", "fell_back", "packed_bytes", "warning")
+    p = convert.pack_plan(_hf(spark, d))
+    return p.select("pos", "name", "pack_role", "pack_class", "rows", "cols", "actual_name", "fell_back", "packed_bytes", "warning")
 
 
 @query
 def pack_report(spark, d):
-    return convert.pack_report(convert.pack_plan(_hf(spark, d).where("type_id = 30 or element_at(dims, -1) % 32 = 0")))
+    return convert.pack_report(convert.pack_plan(_hf(spark, d)))
+
+
+@query
+def pack_totals(spark, d):
+    return convert.pack_totals(convert.pack_plan(_hf(spark, d)))
+
+
+@query
+def pack_fallbacks(spark, d):
+    return convert.pack_fallbacks(convert.pack_plan(_hf(spark, d)))
 
 
 @query

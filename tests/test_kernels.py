@@ -123,3 +123,18 @@ def test_codebooks():
     assert near.tolist() == [0, 1, 3]
     with pytest.raises(ValueError):
         codebooks.use_grid("IQ3_S", np.zeros((3, 4)))
+
+
+def test_scale_codes():
+    x = np.array([0, -1, 1e-4, 0.0009765, 0.015, 1, 1.0625, 239, 247.9, 248, 255, 256, 300, 448, 1e9, np.nan], np.float32)
+    assert kernels.ue4m3(x).tolist() == [0, 0, 0, 0, 7, 56, 57, 119, 119, 0x7E, 0x7E, 0x7E, 0x7E, 0x7E, 0x7E, 0]
+    assert kernels.ue4m3_value(np.array([0, 8, 56, 0x7E, 0x7F])).tolist() == [0, 2**-6, 1, 448, 0]
+
+
+def test_no_clip_holds_every_value():
+    x = (np.random.default_rng(5).normal(size=(64, 32)) * 3).astype(np.float32)
+    for encode, decode in ((kernels.enc_mxfp4, kernels.dec_mxfp4), (kernels.enc_mxfp4_ocp, kernels.dec_mxfp4_ocp)):
+        scales = [kernels.e8m0_value(raw[:, 0] if encode is kernels.enc_mxfp4 else raw[:, 16]) for raw in (encode(x), encode(x, no_clip=True))]
+        top = np.abs(x).max(axis=1)
+        assert (top <= 6 * scales[1]).all() and (top > 3 * scales[1]).all() and (top > 6 * scales[0]).any()
+        assert np.abs(decode(encode(x, no_clip=True)) - x).max() <= scales[1].max()

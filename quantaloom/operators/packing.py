@@ -24,7 +24,7 @@ def _groups(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, np.
 
 
 def _matrix(column: pa.Array, at: np.ndarray) -> np.ndarray:
-    return np.array([column[int(i)].as_py() for i in at], np.float32)
+    return column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
 
 
 def pack(rows: DataFrame) -> DataFrame:

@@ -192,6 +192,34 @@ low AS (SELECT *, min(cost) OVER (PARTITION BY name ORDER BY bytes ROWS BETWEEN
 SELECT name, bits, bytes, cost, CAST(row_number() OVER (PARTITION BY name ORDER BY bytes) - 1 AS INT) AS lvl FROM low WHERE best IS NULL OR cost < best"""
 
 
+_GGUF_BLOCKS = ["F32", "F16", "BF16", "Q8_0", "Q4_0", "Q4_1", "Q5_0", "Q5_1"]
+
+
+def _files() -> dict[str, str]:
+    """What the file queries must give: the same figures from the relations that were written."""
+    summed = "SELECT t AS tensor, count(DISTINCT r) AS rows, round(sum(v::DOUBLE * v::DOUBLE), 5) AS energy FROM e GROUP BY t"
+    plain = f"WITH {W64}, e AS (SELECT *, x AS v FROM w)"
+    turns = ", ".join(f"({i}, '{n}', {fm.BLOCK[n][0]}, {fm.BLOCK[n][1]})" for i, n in enumerate(_GGUF_BLOCKS))
+    labels = "lab AS (SELECT 'emb.' || label AS name, count(*) AS n, row_number() OVER (ORDER BY 'emb.' || label) - 1 AS pos FROM embeddings GROUP BY label)"
+    small = f"{W64}, {IMATRIX}"
+    out = {f"gguf_{n.lower()}": f"WITH {coded(n)} {summed}" if n != "F32" else f"{plain} {summed}" for n in _GGUF_BLOCKS}
+    layers = "SELECT 'blk.' || substr(t, 5) || '.ffn_up.weight' AS tensor, count(DISTINCT r) AS rows, round(sum(v::DOUBLE * v::DOUBLE), 5) AS energy FROM e GROUP BY t"
+    return out | {
+        "gguf_tensors": f"WITH {labels}, f(i, type_name, block, size) AS (VALUES {turns}) SELECT CAST(pos AS INT) AS pos, name, n AS rows, CAST(64 AS BIGINT) AS cols, type_name, CAST(n * 64 // block * size AS BIGINT) AS nbytes, CAST(0 AS BIGINT) AS misaligned FROM lab JOIN f ON i = pos % {len(_GGUF_BLOCKS)}",
+        "gguf_kv": f"""WITH {labels} SELECT 0 AS pos, 'general.architecture' AS key, 'String' AS vtype, 'loom' AS value UNION ALL SELECT 1, 'loom.block_count', 'U32', count(*)::VARCHAR FROM lab UNION ALL SELECT 2, 'loom.big', 'U64', '9223372036854775809'
+UNION ALL SELECT 3, 'loom.names', 'Array<String>', '[' || string_agg('"' || name || '"', ', ' ORDER BY pos) || ']' FROM lab""",
+        "safetensors_values": f"{plain} {summed}",
+        "safetensors_tensors": f"""WITH RECURSIVE {labels}, go AS (SELECT pos, name, n, n * 256 AS filled, 1 AS shard FROM lab WHERE pos = 0 UNION ALL
+SELECT l.pos, l.name, l.n, CASE WHEN filled + l.n * 256 > 300000 THEN l.n * 256 ELSE filled + l.n * 256 END, CASE WHEN filled + l.n * 256 > 300000 THEN shard + 1 ELSE shard END FROM go JOIN lab l ON l.pos = go.pos + 1)
+SELECT name, 'F32' AS dtype, n AS rows, CAST(64 AS BIGINT) AS cols, CAST(n * 256 AS BIGINT) AS nbytes, CAST(shard AS INT) AS shard FROM go""",
+        "imatrix_file": f"WITH {small} SELECT t AS tensor, CAST(any_value(n) AS BIGINT) AS ncall, count(*) AS n, round(sum(g::FLOAT::DOUBLE), 2) AS total FROM im GROUP BY t",
+        "logits_file": f"WITH {W64} SELECT r AS pos, CASE WHEN r % 10 <> 3 THEN r % 64 END AS target, round(sum(x::DOUBLE), 5) AS total FROM w WHERE r < 200 GROUP BY r",
+        "sensitivity_file": f"WITH {ENTRIES} SELECT key, coalesce(len(members), 0)::BIGINT AS members, source_bytes, 'Q4_K' AS bits, source_bytes // 2 AS bytes, round((0.004 * (1 + pos % 5))::DOUBLE, 6) AS kl FROM ent",
+        "quantize_plan": f"WITH {labels} SELECT replace(name, 'emb.', 'blk.') || '.ffn_up.weight' AS name, 'quantize' AS action, 'Q5_0' AS out_name FROM lab",
+        "quantize_values": f"WITH {coded('Q8_0')} {layers}",
+    }
+
+
 def oracle() -> dict[str, str]:
     ladder = ", ".join(f"({fm.ID[n]})" for n in fm.LADDERS["full"] + fm.LADDERS["blockfloat"])
     full = ", ".join(f"({i}, {fm.ID[n]}, {fm.BLOCK[n][1] * 8 / fm.BLOCK[n][0]!r}::DOUBLE)" for i, n in enumerate(fm.LADDERS["full"]))
@@ -257,4 +285,4 @@ SELECT t AS tensor, count(*) AS n, count(*) // 32 * 34 AS bytes, CAST(sum(q) AS
     for name, width in ROUND_TRIPS.items():
         if name in _SCALED:
             sql.setdefault(f"rt_{name.lower()}", f"WITH {coded(name, width == 256)} {_report(name)}")
-    return sql
+    return sql | _files()

@@ -9,12 +9,13 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quantaloom.functions import kernels
 from quantaloom.functions.formats import BLOCK, ID, INTERNAL, NAME
-from quantaloom.sources.files import listed, opened, refuse_existing, resolve
+from quantaloom.sources.files import BATCH, binary_rows, listed, listed_rows, opened, refuse_existing, resolve
 
 MAGIC = b"GGUF"
 ALIGNMENT_KEY = "general.alignment"
@@ -219,7 +220,7 @@ class GgufReader(DataSourceReader):
                     out += [Part(path, pos, r, min(r + step, t.shape[0])) for r in range(0, t.shape[0], step)]
         return out
 
-    def read(self, part: Part) -> Iterator[tuple]:
+    def read(self, part: Part) -> Iterator[tuple | pa.RecordBatch]:
         header = read_header(part.path)
         if self.table == "kv":
             for i, (key, kind, value) in enumerate(header.kv):
@@ -229,16 +230,20 @@ class GgufReader(DataSourceReader):
                 yield part.path, i, t.name, t.dims, t.type_id, NAME.get(t.type_id, f"type{t.type_id}"), header.data_start + t.offset, t.nbytes
         else:
             t = header.tensors[part.pos]
+            step = max(1, BATCH // max(t.row_bytes, 1))
             with opened(part.path) as f:
                 f.seek(header.data_start + t.offset + part.start * t.row_bytes)
-                for row in range(part.start, part.stop):
-                    raw = f.read(t.row_bytes)
-                    if len(raw) != t.row_bytes:
+                for row in range(part.start, part.stop, step):
+                    n = min(step, part.stop - row)
+                    raw = f.read(n * t.row_bytes)
+                    if len(raw) != n * t.row_bytes:
                         raise ValueError(f"{t.name}: truncated")
+                    names, rows = pa.array([t.name] * n), pa.array(range(row, row + n), pa.int64())
                     if self.table == "rows":
-                        yield part.path, t.name, row, raw
+                        yield pa.record_batch([pa.array([part.path] * n), names, rows, binary_rows(raw, n)], ["path", "name", "row", "raw"])
                     else:
-                        yield t.name, row, kernels.dequantize(NAME[t.type_id], np.frombuffer(raw, np.uint8)[None], t.shape[1])[0].tolist()
+                        values = kernels.dequantize(NAME[t.type_id], np.frombuffer(raw, np.uint8).reshape(n, -1), t.shape[1])
+                        yield pa.record_batch([names, rows, listed_rows(values)], ["name", "row", "x"])
 
 
 class GgufDataSource(DataSource):

@@ -10,12 +10,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quantaloom.functions import kernels
-from quantaloom.sources.files import listed, opened, refuse_existing, resolve, size
+from quantaloom.sources.files import BATCH, binary_rows, listed, listed_rows, opened, refuse_existing, resolve, size
 
 INDEX = "model.safetensors.index.json"
 SPLIT = 64 << 20
@@ -119,7 +120,7 @@ class Reader(DataSourceReader):
                 out += [Part(e, r, min(r + step, e.rows)) for r in range(0, e.rows, step)]
         return out
 
-    def read(self, part: Part) -> Iterator[tuple]:
+    def read(self, part: Part) -> Iterator[tuple | pa.RecordBatch]:
         if part.entry is None:
             for e in catalog(self.path):
                 yield e.name, e.dtype, e.shape, e.end - e.start, e.path
@@ -128,9 +129,17 @@ class Reader(DataSourceReader):
         width = e.cols * SIZES[e.dtype]
         with opened(e.path) as f:
             f.seek(read_header(e.path)[2] + e.start + part.start * width)
-            for row in range(part.start, part.stop):
-                raw = f.read(width)
-                yield (e.name, row, raw) if self.table == "rows" else (e.name, row, widen(raw, e.dtype).tolist())
+            step = max(1, BATCH // max(width, 1))
+            for row in range(part.start, part.stop, step):
+                n = min(step, part.stop - row)
+                raw = f.read(n * width)
+                if len(raw) != n * width:
+                    raise ValueError(f"{e.name}: truncated")
+                names, rows = pa.array([e.name] * n), pa.array(range(row, row + n), pa.int64())
+                if self.table == "rows":
+                    yield pa.record_batch([names, rows, binary_rows(raw, n)], ["name", "row", "raw"])
+                else:
+                    yield pa.record_batch([names, rows, listed_rows(widen(raw, e.dtype).reshape(n, -1))], ["name", "row", "x"])
 
 
 class SafetensorsDataSource(DataSource):

@@ -10,8 +10,8 @@ there are shards, so a group of any size is a few rows. A group that found no ro
 the rounds is gathered after them where most of it is, and the rest gives way in the cut.
 
 The law is `rows`: after the last round the documents are put in order of label, group
-and id and cut into shards whose counts are at most one apart; only groups at a cut, or
-larger than a shard, stay apart, and those in adjacent shards, one more than they fill at
+and id, unlinked rows at both ends of their label, and cut into shards whose counts are at most one apart; only groups
+larger than a shard, or at a cut that no unlinked rows cover, stay apart, and those in adjacent shards, one more than they fill at
 most. The order's ranks come from counts of small bins, and a large group has bins of its
 own, so no bin grows with a group.
 
@@ -32,7 +32,7 @@ ROUNDS = 5
 SLACK = 1.05
 #: Bins of groups per label, and rows beyond which a group has bins of its own (more if there are more than BIN_ROWS * 100,000 rows,
 #: fewer if that is over a thousandth of the rows).
-BINS, BIN_ROWS = 4096, 10_000
+BINS, BIN_ROWS = 1024, 10_000
 
 
 def _nodes(docs: DataFrame, shards: int) -> DataFrame:
@@ -44,6 +44,8 @@ def _nodes(docs: DataFrame, shards: int) -> DataFrame:
         F.crc32(text).alias("crc"),
         F.xxhash64(text).alias("grp"),
         F.pmod(F.xxhash64(doc_id, text), F.lit(shards)).cast("int").alias("start"),
+        # rows of one id, or without, are told apart; the number is written before it is used
+        F.monotonically_increasing_id().alias("row"),
     )
 
 
@@ -99,16 +101,20 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
         {
             "bin": F.pmod("grp", F.lit(BINS)),
             "big": F.when(own, F.col("grp")),
-            "sub": F.when(own, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / large))).otherwise(F.lit(0)),
+            "sub": F.when(own, F.pmod(F.xxhash64("row"), F.ceil(F.col("members") / large))).otherwise(F.lit(0)),
         }
     )
-    placed = save(placed.select("doc_id", "size", "crc", "grp", "label", "bin", "big", "sub"))
-    bins = placed.groupBy("label", "bin", "big", "sub").agg(F.count(F.lit(1)).alias("n"))
-    # at most shards * BINS bins and rows / large more: bounded, whatever the input
-    running = Window.orderBy("label", "bin", "big", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.broadcast(bins.select("label", "bin", F.col("big").alias("_big"), "sub", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("before")))
-    within = Window.partitionBy("label", "bin", "big", "sub").orderBy("grp", "doc_id", "size", "crc")
-    ranked = placed.withColumn("within", F.row_number().over(within) - 1).join(before, (placed["label"] == before["label"]) & (placed["bin"] == before["bin"]) & placed["big"].eqNullSafe(before["_big"]) & (placed["sub"] == before["sub"]))
+    # unlinked rows stand at both ends of their label, so that the cuts fall among them
+    placed = placed.withColumn("side", F.when(F.col("members").isNull(), 2 * (F.col("bin") % 2)).otherwise(F.lit(1)))
+    placed = save(placed.select("doc_id", "size", "crc", "grp", "row", "label", "side", "bin", "big", "sub"))
+    order = ["label", "side", "bin", "big", "sub"]
+    bins = placed.groupBy(*order).agg(F.count(F.lit(1)).alias("n"))
+    # at most twice shards * BINS bins and rows / large more: bounded, whatever the input
+    running = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.broadcast(bins.select("label", "side", "bin", F.col("big").alias("_big"), "sub", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("before")))
+    within = Window.partitionBy(*order).orderBy("grp", "doc_id", "row")
+    same = [placed[c] == before[c] for c in ("label", "side", "bin", "sub")]
+    ranked = placed.withColumn("within", F.row_number().over(within) - 1).join(before, [*same, placed["big"].eqNullSafe(before["_big"])])
     ranked = ranked.select("doc_id", "size", "crc", (F.col("before") + F.col("within")).cast("long").alias("rank"))
     ranked = ranked.withColumn("shard", F.expr(f"(rank * {shards}) div {max(rows, 1)}").cast("int"))
     return ranked.select(

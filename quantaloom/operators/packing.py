@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantaloom.functions import kernels
+from quantaloom.functions import codebooks, kernels
 from quantaloom.runtime import ship
 
 
@@ -37,7 +37,10 @@ def pack(rows: DataFrame) -> DataFrame:
     has_g = "g" in rows.columns
     frame = rows.select("tensor", "row", F.col("x").cast("array<float>").alias("x"), "fmt", *([F.col("g").cast("array<float>").alias("g")] if has_g else []))
 
+    grids = codebooks.given()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codebooks.take(grids)
         for batch in batches:
             out: list[bytes | None] = [None] * batch.num_rows
             for (_, fmt), at in _groups(batch, ["tensor", "fmt"]):
@@ -54,7 +57,10 @@ def unpack(rows: DataFrame) -> DataFrame:
     """tensor, row, x from (tensor, row, raw, fmt, cols)."""
     ship(rows.sparkSession)
 
+    grids = codebooks.given()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codebooks.take(grids)
         for batch in batches:
             out: list = [None] * batch.num_rows
             for (fmt, cols), at in _groups(batch, ["fmt", "cols"]):
@@ -69,15 +75,19 @@ def unpack(rows: DataFrame) -> DataFrame:
 def costs(rows: DataFrame, rungs: list[str]) -> DataFrame:
     """tensor, fmt, bytes, energy, err of round trips of rows (tensor, row, x[, g]) under every rung that fits them.
 
-    Rungs that need importances are left out where there are none.
+    Rungs that need importances are left out where there are none, and codebook rungs where no grid is given.
     """
     ship(rows.sparkSession)
     has_g = "g" in rows.columns
     frame = rows.select("tensor", F.col("x").cast("array<float>").alias("x"), *([F.col("g").cast("array<float>").alias("g")] if has_g else []))
 
+    grids = codebooks.given()
+    rungs = [fmt for fmt in rungs if fmt not in codebooks.SHAPES or fmt in grids]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from quantaloom.functions.formats import BLOCK
 
+        codebooks.take(grids)
         for batch in batches:
             out = []
             widths = pa.array([len(v) for v in batch.column("x")], pa.int32())

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from quantaloom.functions import kernels
+from quantaloom.functions import codebooks, kernels
 from quantaloom.functions.formats import BLOCK, ID, INTERNAL, NAME
 from quantaloom.sources.files import BATCH, binary_rows, listed, listed_rows, opened, refuse_existing, resolve
 
@@ -207,6 +207,7 @@ class GgufReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.table, self.names = options.get("table", "tensors"), options.get("names")
         self.paths = listed(options["path"], ".gguf")
+        self.grids = codebooks.given()
 
     def partitions(self) -> list[Part]:
         if self.table in ("kv", "tensors"):
@@ -229,6 +230,7 @@ class GgufReader(DataSourceReader):
             for i, t in enumerate(header.tensors):
                 yield part.path, i, t.name, t.dims, t.type_id, NAME.get(t.type_id, f"type{t.type_id}"), header.data_start + t.offset, t.nbytes
         else:
+            codebooks.take(self.grids)
             t = header.tensors[part.pos]
             step = max(1, BATCH // max(t.row_bytes, 1))
             with opened(part.path) as f:

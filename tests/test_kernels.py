@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -7,6 +9,16 @@ from quantaloom.functions import codebooks, kernels
 from quantaloom.functions.formats import BLOCK
 from quantaloom.operators import blocks, packing
 
+
+def stand_in(dim, count, alphabet):
+    """A grid for tests: the points of least norm."""
+    points = np.array(list(itertools.product(alphabet, repeat=dim)), np.int32)
+    return points[np.lexsort((*points.T[::-1], (points * points).sum(axis=1)))[:count]]
+
+
+for _name, (_dim, _count, *_) in codebooks.SHAPES.items():
+    codebooks.use_grid(_name, stand_in(_dim, _count, (-1, 0, 1) if _name.startswith("IQ1") else (8, 25, 43) if _name.startswith("IQ2") else (4, 12, 20, 28, 36, 44, 52, 62) if _name == "IQ3_XXS" else (1, 3, 5, 7, 9, 11, 13, 15)))
+
 ALL = sorted(n for n in BLOCK)
 #: Largest relative error on normal values, with importances.
 LIMIT = {"Q2_K": 0.3, "Q3_K": 0.16, "Q4_K": 0.08, "Q5_K": 0.04, "Q6_K": 0.02, "Q8_K": 0.01, "Q8_0": 0.007, "Q8_1": 0.007, "Q4_0": 0.1, "Q4_1": 0.09, "Q5_0": 0.05, "Q5_1": 0.045, "IQ4_NL": 0.08, "IQ4_XS": 0.085, "IQ3_S": 0.15, "IQ3_XXS": 0.2, "IQ2_S": 0.26, "IQ2_XS": 0.3, "IQ2_XXS": 0.35, "IQ1_S": 0.55, "IQ1_M": 0.55, "F32": 0, "F16": 1e-3, "BF16": 4e-3, "MXFP4": 0.13, "MXFP4_OCP": 0.13, "NVFP4": 0.11, "NVFP4_GGUF": 0.11, "MXFP8": 0.035, "FP8_E4M3": 0.035, "FP8_E5M2": 0.065}
@@ -115,14 +127,78 @@ def test_pack_unpack(spark):
     assert cost["b", "Q8_0"]["err"] < cost["b", "Q4_K"]["err"] and cost["b", "Q8_0"]["bytes"] == 5 * 512 // 32 * 34
 
 
-def test_codebooks():
-    for name, (dim, count, *_, size) in codebooks.SHAPES.items():
-        points = codebooks.grid(name)
-        assert points.shape == (count, dim) and len(np.unique(points, axis=0)) == count and codebooks.field_bytes(name) <= size
+def half(raw):
+    return float(np.frombuffer(bytes(raw), "<f2")[0])
+
+
+def scalar(name, raw, points):
+    """One block, value by value, from the format's description."""
+    word = lambda at, n: int.from_bytes(bytes(raw[at : at + n]), "little")
+    eight = lambda seven: [-1 if seven >> i & 1 else 1 for i in range(7)] + [-1 if bin(seven).count("1") % 2 else 1]
+    out = []
+    for ib in range(8):
+        if name == "IQ2_XXS":
+            aux = word(2 + 8 * ib + 4, 4)
+            for j in range(4):
+                out += [half(raw[:2]) * (0.5 + (aux >> 28)) * 0.25 * p * s for p, s in zip(points[raw[2 + 8 * ib + j]], eight(aux >> 7 * j & 127), strict=True)]
+        elif name == "IQ2_XS":
+            for j in range(4):
+                q, scale = word(2 + 8 * ib + 2 * j, 2), raw[66 + ib] >> 4 * (j // 2) & 15
+                out += [half(raw[:2]) * (0.5 + scale) * 0.25 * p * s for p, s in zip(points[q & 511], eight(q >> 9), strict=True)]
+        elif name == "IQ2_S":
+            for j in range(4):
+                k = raw[2 + 4 * ib + j] + ((raw[66 + ib] >> 2 * j & 3) << 8)
+                signs, scale = raw[34 + 4 * ib + j], raw[74 + ib] >> 4 * (j // 2) & 15
+                out += [half(raw[:2]) * (0.5 + scale) * 0.25 * p * (-1 if signs >> i & 1 else 1) for i, p in enumerate(points[k])]
+        elif name == "IQ3_XXS":
+            aux = word(66 + 4 * ib, 4)
+            for j in range(4):
+                both = [*points[raw[2 + 8 * ib + 2 * j]], *points[raw[3 + 8 * ib + 2 * j]]]
+                out += [half(raw[:2]) * (0.5 + (aux >> 28)) * 0.5 * p * s for p, s in zip(both, eight(aux >> 7 * j & 127), strict=True)]
+        elif name == "IQ3_S":
+            scale = raw[106 + ib // 2] >> 4 * (ib % 2) & 15
+            for j in range(8):
+                k = raw[2 + 8 * ib + j] + ((raw[66 + ib] >> j & 1) << 8)
+                signs = raw[74 + 4 * ib + j // 2] >> 4 * (j % 2)
+                out += [half(raw[:2]) * (1 + 2 * scale) * p * (-1 if signs >> i & 1 else 1) for i, p in enumerate(points[k])]
+        elif name == "IQ1_S":
+            high = word(34 + 2 * ib, 2)
+            for j in range(4):
+                out += [half(raw[:2]) * (2 * (high >> 12 & 7) + 1) * (p + (-0.125 if high >> 15 else 0.125)) for p in points[raw[2 + 4 * ib + j] + ((high >> 3 * j & 7) << 8)]]
+        else:
+            scales = [word(48 + 2 * i, 2) for i in range(4)]
+            d = half(sum((s >> 12) << 4 * i for i, s in enumerate(scales)).to_bytes(2, "little"))
+            for j in range(4):
+                h = raw[32 + 2 * ib + j // 2] >> 4 * (j % 2) & 15
+                step = scales[ib // 2] >> 6 * (ib % 2) + 3 * (j // 2) & 7
+                out += [d * (2 * step + 1) * (p + (-0.125 if h & 8 else 0.125)) for p in points[raw[4 * ib + j] + ((h & 7) << 8)]]
+    return out
+
+
+@pytest.mark.parametrize("name", codebooks.SHAPES)
+def test_codebook_layouts(name):
+    rng = np.random.default_rng(3)
+    points = codebooks.grid(name)
+    raw = rng.integers(0, 256, (20, codebooks.SHAPES[name][-1]), dtype=np.uint8)
+    if name == "IQ1_M":
+        raw[:, 55] &= 0x3F  # halves that are numbers
+    else:
+        raw[:, 1] &= 0x3F
+    got = codebooks.decode(name, raw)
+    want = np.array([scalar(name, [int(b) for b in r], points.tolist()) for r in raw])
+    assert np.allclose(got, want, rtol=1e-6, atol=0)
+    assert (codebooks.join(name, *codebooks.fields(name, raw)) == raw).all()
+
+
+def test_codebooks_need_grids(monkeypatch):
     near = codebooks.neighbours(np.array([[0.0], [1], [2], [-1]]), np.array([[0.0]]), 2)[0]
     assert near.tolist() == [0, 1, 3]
     with pytest.raises(ValueError):
         codebooks.use_grid("IQ3_S", np.zeros((3, 4)))
+    monkeypatch.setattr(codebooks, "_GIVEN", {})
+    for run in (lambda: kernels.quantize("IQ3_S", np.ones((1, 256), np.float32)), lambda: kernels.dequantize("IQ3_S", np.zeros((1, 110), np.uint8), 256)):
+        with pytest.raises(ValueError, match="needs its grid"):
+            run()
 
 
 def test_scale_codes():

@@ -78,3 +78,27 @@ def test_signature_estimates_similarity():
         rest = [rng.integers(0, 2**63, (2000 - len(both)) // 2, dtype=np.uint64) for _ in range(2)]
         a, b = neardup.signatures([np.concatenate([both, r]) for r in rest])
         assert abs((a == b).mean() - share) < 0.1
+
+
+def test_recall_just_above_the_threshold():
+    """Of 4000 pairs at a similarity of 0.85 to 0.87, all that share a band pass the screen, and next to none shares no band."""
+    rng = np.random.default_rng(21)
+    found = passed = near = 0
+    for _ in range(40):
+        sets = []
+        for _ in range(100):
+            size = int(rng.integers(60, 400))
+            only = int(size * 0.15 / 1.85)  # a pair of equal sets with so many own shingles each
+            common = rng.integers(1, 2**63, size - only, dtype=np.uint64)
+            sets += [np.unique(np.concatenate([common, rng.integers(1, 2**63, only, dtype=np.uint64)])) for _ in range(2)]
+        signed = neardup.signatures(sets)
+        bands = np.ascontiguousarray(signed[:, : neardup.BANDS * neardup.ROWS]).view(np.uint64)
+        for i in range(0, len(sets), 2):
+            both = len(np.intersect1d(sets[i], sets[i + 1]))
+            similar = both / (len(sets[i]) + len(sets[i + 1]) - both)
+            if 0.85 <= similar < 0.87:
+                near += 1
+                shared = bool((bands[i] == bands[i + 1]).any())
+                found += shared
+                passed += shared and (signed[i] == signed[i + 1]).sum() >= neardup.SCREEN * neardup.COORDINATES
+    assert near > 2000 and passed == found and found >= near - 1

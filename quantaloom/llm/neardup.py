@@ -49,7 +49,7 @@ SCREEN = 0.77
 #: Members of a bucket that are compared with one another in one task.
 BLOCK = 1024
 #: Members verified against one centre in one task.
-STAR = 4096
+STAR = 256
 
 _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _OTHER, _SIGMA = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)

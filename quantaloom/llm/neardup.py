@@ -14,8 +14,9 @@ the tasks, and those that could reach the threshold are verified as well. So no
 bucket is capped, no group's pairs are all emitted, and members already known to
 be connected are not compared again.
 
-The signature test lets a pair go if its estimated similarity is under SCREEN, over five
-standard deviations below the threshold (1e-8); bands miss a pair at the threshold
+The signature test lets a pair go if its estimated similarity is under SCREEN, about four
+standard deviations below the threshold: it loses a pair at 0.850 with probability 7e-5, at 0.86
+with 2e-6, unless other links connect the two; bands miss a pair at the threshold
 with probability 3e-6. A test measures what both find of many pairs just above it.
 
 Words are runs of [^\\x20\\x09-\\x0D] after lower-casing A-Z. With under five
@@ -45,7 +46,7 @@ PERCENT = 85
 BANDS, ROWS = 40, 8
 #: Coordinates of a signature: the first BANDS * ROWS make bands, all of them estimate.
 COORDINATES = 640
-SCREEN = 0.77
+SCREEN = 0.795
 #: Members of a bucket that are compared with one another in one task.
 BLOCK = 1024
 #: Members verified against one centre in one task.

@@ -152,11 +152,12 @@ def test_split_experts_and_router(spark):
 
 
 def test_migrate_config():
-    out = convert.migrate_config({"model_type": "m", "intermediate_size": 64, "architectures": ["MForCausalLM"]}, 8, 2, "m", "m_moe")
+    sizes = {"num_hidden_layers": 2, "hidden_size": 32}
+    out = convert.migrate_config({"model_type": "m", "intermediate_size": 64, "architectures": ["MForCausalLM"]} | sizes, 8, 2, "m", "m_moe")
     assert out["moe_intermediate_size"] == 8 and out["architectures"] == ["MMoeForCausalLM"]
     for bad in ({"model_type": "x", "intermediate_size": 64}, {"model_type": "m", "intermediate_size": 63}, {"model_type": "m", "intermediate_size": 64, "quantization_config": {}}):
         with pytest.raises(ValueError):
-            convert.migrate_config(bad, 8, 2, "m", "m_moe")
+            convert.migrate_config(bad | sizes, 8, 2, "m", "m_moe")
 
 
 def test_moe_plan_and_audit(spark):
@@ -164,7 +165,7 @@ def test_moe_plan_and_audit(spark):
     source = spark.createDataFrame(rows, "name string, dims array<long>, type_id int")
     out = convert.moe_plan(source, 4, 32, 64)
     got = {r["name"]: r for r in out.collect()}
-    assert got["model.layers.1.mlp.experts.down_proj"]["dims"] == [4, 32, 16] and len(got) == 7
+    assert got["model.layers.1.mlp.experts.down_proj"]["dims"] == [4, 32, 16] and len(got) == 15
     replaced = source.where(F.col("name").contains(".mlp.")).select("name")
     assert convert.audit(source, out.drop("action"), replaced).count() == 0
     assert convert.audit(source, out.drop("action").where("name <> 'lm_head.weight'"), replaced).first()["problem"] == "missing"

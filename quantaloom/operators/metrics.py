@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantaloom.runtime import cut
+
 FLOOR = 1e-12
 
 
@@ -94,6 +96,15 @@ def top_k(capture: DataFrame, k: int) -> DataFrame:
 
 #: Half the band of ranks around a quantile that is looked at exactly.
 BAND = 0.002
+#: Groups up to so many are broadcast to their rows (some 100 bytes each), more are joined by a shuffle.
+BROADCAST_GROUPS = 50_000
+
+
+def _beside(rows: DataFrame, groups: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """rows with the columns of their group; groups is materialised, so counting it reads no rows again."""
+    if not by:
+        return rows.crossJoin(F.broadcast(groups))  # one row
+    return rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups.hint("merge"), list(by))
 
 
 def quantiles(rows: DataFrame, value: str, points: dict[str, float], *by: str) -> DataFrame:
@@ -105,26 +116,28 @@ def quantiles(rows: DataFrame, value: str, points: dict[str, float], *by: str) -
     from pyspark.sql import Window
 
     bands = [F.percentile_approx(value, [max(q - BAND, 0.0), min(q + BAND, 1.0)], 10_000).alias(f"_b{i}") for i, q in enumerate(points.values())]
-    bounds = rows.groupBy(*by).agg(F.count(value).alias("_n"), *bands)
-    # as many rows as groups
-    near = rows.join(F.broadcast(bounds), list(by)) if by else rows.crossJoin(F.broadcast(bounds))
+    bounds = cut(rows.groupBy(*by).agg(F.count(value).alias("_n"), *bands))
+    near = _beside(rows, bounds, by)
     under = near.groupBy(*by).agg(*(F.count_if(F.col(value) < F.col(f"_b{i}")[0]).alias(f"_u{i}") for i in range(len(points))), F.max("_n").alias("_n"))
+    under = cut(under)
     inside = F.array(*(F.when(F.col(value).between(F.col(f"_b{i}")[0], F.col(f"_b{i}")[1]), F.lit(i)) for i in range(len(points))))
     some = near.select(*by, value, F.explode(F.array_compact(inside)).alias("_i"))
     ranked = some.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_i").orderBy(value)) - 1)
-    joined = ranked.join(F.broadcast(under), list(by)) if by else ranked.crossJoin(F.broadcast(under))
+    joined = _beside(ranked, under, by)
     target = lambda q: F.floor((F.col("_n") - 1) * F.lit(q) + 0.5)
     return joined.groupBy(*by).agg(*(F.max(F.when((F.col("_i") == i) & (F.col("_r") + F.col(f"_u{i}") == target(q)), F.col(value))).alias(name) for i, (name, q) in enumerate(points.items())))
 
 
 def kl_stats(rows: DataFrame, *by: str) -> DataFrame:
     """n, mean, median, p90, p99, max, rms, top1, perplexities of `divergence` rows, by group; quantiles of nearest rank."""
+    # four passes follow: the divergence itself is computed once
+    rows = cut(rows.select(*by, "kl", "same_top", "lp_ref", "lp_cand"))
     n = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg("kl").alias("mean"), F.max("kl").alias("max"), F.sqrt(F.avg(F.col("kl") * F.col("kl"))).alias("rms"), F.avg(F.col("same_top").cast("double")).alias("top1"),
         F.exp(-F.avg("lp_ref")).alias("ppl_ref"), F.exp(-F.avg("lp_cand")).alias("ppl_cand"),
     )
     points = quantiles(rows, "kl", {"median": 0.5, "p90": 0.9, "p99": 0.99}, *by)
-    both = n.join(points, list(by)) if by else n.crossJoin(F.broadcast(points))
+    both = n.join(points, list(by)) if by else n.crossJoin(F.broadcast(points))  # one row each
     return both.select(*by, "n", "mean", "median", "p90", "p99", "max", "rms", "top1", "ppl_ref", "ppl_cand")
 
 

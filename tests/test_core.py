@@ -171,11 +171,13 @@ def test_moe_plan_and_audit(spark):
     assert convert.audit(source, out.drop("action").where("name <> 'lm_head.weight'"), replaced).first()["problem"] == "missing"
 
 
-def test_quantiles_of_nearest_rank(spark):
+@pytest.mark.parametrize("groups", [50_000, 0])
+def test_quantiles_of_nearest_rank(spark, monkeypatch, groups):
     import random
 
     from quantaloom.operators import metrics
 
+    monkeypatch.setattr(metrics, "BROADCAST_GROUPS", groups)
     rng = random.Random(3)
     rows = [(g, rng.choice([0.0, 0.5, rng.random()])) for g in range(3) for _ in range(rng.choice([1, 2, 5001]))]
     frame = spark.createDataFrame(rows, "g int, v double")

@@ -43,7 +43,8 @@ def pack(rows: DataFrame) -> DataFrame:
         codebooks.take(grids)
         for batch in batches:
             out: list[bytes | None] = [None] * batch.num_rows
-            for (_, fmt), at in _groups(batch, ["tensor", "fmt"]):
+            sized = batch.append_column("width", batch.column("x").value_lengths())
+            for (_, fmt, _), at in _groups(sized, ["tensor", "fmt", "width"]):
                 g = batch.column("g")[int(at[0])].as_py() if has_g else None
                 packed = kernels.quantize(fmt, _matrix(batch.column("x"), at), None if g is None else np.array(g, np.float32))
                 for i, raw in zip(at.tolist(), packed, strict=True):

@@ -91,12 +91,18 @@ for _fmt in BLOCKS:
 
 
 def _kernel(fmt: str):
-    """Round trip of a searched format: no SQL restates the search, so only its error is reported."""
+    """Round trip of a searched format: no SQL restates the search, so only its error is reported.
+
+    A short row, as the last one may be, is packed with zeros up to whole blocks; its own values count.
+    """
 
     def run(spark, d):
         rows = inputs.weights256(spark, d).withColumn("fmt", F.lit(fmt))
-        back = packing.unpack(packing.pack(rows).withColumns({"fmt": F.lit(fmt), "cols": F.lit(256)})).withColumnRenamed("x", "y")
-        both = rows.join(back, ["tensor", "row"]).withColumn("p", F.arrays_zip("x", "y"))
+        whole = rows.withColumn("x", F.concat("x", F.array_repeat(F.lit(0.0).cast("float"), F.pmod(-F.size("x"), F.lit(256)))))
+        block, size = fm.BLOCK[fmt]
+        coded = packing.pack(whole).withColumns({"fmt": F.lit(fmt), "cols": F.expr(f"octet_length(raw) div {size} * {block}")})
+        back = packing.unpack(coded).withColumnRenamed("x", "y")
+        both = rows.join(back, ["tensor", "row"]).withColumn("p", F.arrays_zip("x", F.slice("y", 1, F.size("x")).alias("y")))
         square = lambda f: F.aggregate("p", F.lit(0.0), lambda a, p: a + f(p["x"].cast("double"), p["y"].cast("double")))
         return both.groupBy("tensor").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum(square(lambda x, y: (x - y) * (x - y))) / F.sum(square(lambda x, y: x * x)), 4).alias("error"))
 

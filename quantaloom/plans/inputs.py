@@ -40,7 +40,7 @@ def weights64(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weights256(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four vectors side by side as one row."""
+    """Four vectors side by side as one row, or as many of the four as there are."""
     part = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 4").alias("row"), F.struct((F.col("vec_id") % 4).alias("i"), F.col("embedding").cast("array<float>").alias("x")).alias("p"))
     rows = part.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["x"])).alias("x"))
     return rows.select(F.concat(F.lit("emb."), (F.col("row") % 10).cast("string")).alias("tensor"), "row", "x")

@@ -8,6 +8,8 @@ from hypothesis import strategies as st
 from quantaloom.functions import codebooks, kernels
 from quantaloom.functions.formats import BLOCK
 from quantaloom.operators import blocks, packing
+from quantaloom.plans import file_queries
+from quantaloom.plans.queries import QUERIES
 
 
 def stand_in(dim, count, alphabet):
@@ -214,3 +216,25 @@ def test_no_clip_holds_every_value():
         top = np.abs(x).max(axis=1)
         assert (top <= 6 * scales[1]).all() and (top > 3 * scales[1]).all() and (top > 6 * scales[0]).any()
         assert np.abs(decode(encode(x, no_clip=True)) - x).max() <= scales[1].max()
+
+
+def short(spark, folder, count):
+    """A table of embeddings whose last row of four vectors is not whole."""
+    rng = np.random.default_rng(count)
+    x = rng.normal(size=(count, 64)).astype("f4")
+    rows = [(i, v.astype(float).tolist(), i % 10) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(2).write.parquet(f"{folder}/embeddings.parquet")
+    return x
+
+
+@pytest.mark.parametrize("name", file_queries.KERNELS)
+def test_kernel_queries_take_a_short_last_row(spark, tmp_path, name):
+    x = short(spark, tmp_path, 46)
+    got = {r["tensor"]: (r["rows"], r["error"]) for r in QUERIES[f"kernel_{name.lower()}"](spark, str(tmp_path)).collect()}
+    want = {}
+    for t in range(10):
+        own = [x[4 * r : 4 * r + 4].ravel() for r in range(t, 12, 10)]
+        back = [kernels.roundtrip(name, np.pad(v, (0, 256 - len(v)))[None])[0, : len(v)] for v in own]
+        error = sum(((v.astype("f8") - y) ** 2).sum() for v, y in zip(own, back, strict=True)) / sum((v.astype("f8") ** 2).sum() for v in own)
+        want[f"emb.{t}"] = (len(own), pytest.approx(error, abs=6e-5))
+    assert got == want and got["emb.1"][0] == 2

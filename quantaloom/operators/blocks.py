@@ -67,7 +67,7 @@ def _ternary(b: Column, top: int) -> Column:
 
 
 def _q1(b: Column) -> Column:
-    mean = c.f32(F.aggregate(b, c.lit32(0.0), lambda a, x: c.f32(a + F.abs(x))) / F.size(b).cast("float"))
+    mean = c.f32(F.aggregate(b, c.lit32(0.0), lambda a, x: c.f32(a + F.abs(x))) / c.lit32(float(BLOCK["Q1_0"][0])))
     return _scaled(b, mean, lambda x, d, i: (x >= 0).cast("int"), lambda q, d: c.f32(2 * q - 1) * c.f16(d))
 
 
@@ -144,6 +144,11 @@ def roundtrip(rows: DataFrame, name: str) -> DataFrame:
     return rows.withColumn("e", _by_block(whole, block, BLOCKS[name]))
 
 
+def roundtrip_blocks(rows: DataFrame, name: str) -> DataFrame:
+    """rows (tensor, row, blocks array<array<float>>) with `e` as of roundtrip. A short block is scaled as if zeros filled it up."""
+    return rows.withColumn("e", F.flatten(F.transform("blocks", BLOCKS[name])))
+
+
 def _nvfp4(rows: DataFrame) -> DataFrame:
     """Two levels of scale: one per tensor, and an E4M3 one per 16 values."""
     top = rows.groupBy("tensor").agg(F.max(amax(F.col("x"))).alias("_top"))

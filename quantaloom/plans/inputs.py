@@ -39,11 +39,23 @@ def weights64(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.concat(F.lit("emb."), F.col("label").cast("string")).alias("tensor"), F.col("vec_id").alias("row"), F.col("embedding").cast("array<float>").alias("x"))
 
 
+def _fours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tensor, row, p: the vectors of a row and their places in it."""
+    part = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 4").alias("row"), F.struct((F.col("vec_id") % 4).alias("i"), F.col("embedding").cast("array<float>").alias("x")).alias("p"))
+    rows = part.groupBy("row").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    return rows.select(F.concat(F.lit("emb."), (F.col("row") % 10).cast("string")).alias("tensor"), "row", "p")
+
+
 def weights256(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four vectors side by side as one row, or as many of the four as there are."""
-    part = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 4").alias("row"), F.struct((F.col("vec_id") % 4).alias("i"), F.col("embedding").cast("array<float>").alias("x")).alias("p"))
-    rows = part.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["x"])).alias("x"))
-    return rows.select(F.concat(F.lit("emb."), (F.col("row") % 10).cast("string")).alias("tensor"), "row", "x")
+    return _fours(spark, sf_dir).select("tensor", "row", F.flatten(F.transform("p", lambda p: p["x"])).alias("x"))
+
+
+def blocks256(spark: SparkSession, sf_dir: str, block: int) -> DataFrame:
+    """The same rows as arrays of blocks, each vector in the block of its place: where vectors are missing a block is short or left out."""
+    own = lambda b: F.flatten(F.transform(F.filter("p", lambda p: F.floor(p["i"] * 64 / block) == b), lambda p: p["x"]))
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(256 // block - 1)), own)
+    return _fours(spark, sf_dir).select("tensor", "row", F.filter(blocks, lambda b: F.size(b) > 0).alias("blocks"))
 
 
 def imatrix(spark: SparkSession, sf_dir: str) -> DataFrame:

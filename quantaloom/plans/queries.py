@@ -74,7 +74,8 @@ def floor_violations(spark, d):
 
 def _round_trip(name: str, wide: bool) -> Callable:
     def run(spark, d):
-        return blocks.error_report(blocks.roundtrip((inputs.weights256 if wide else inputs.weights64)(spark, d), name), name)
+        coded = blocks.roundtrip_blocks(inputs.blocks256(spark, d, fm.BLOCK[name][0]), name) if wide else blocks.roundtrip(inputs.weights64(spark, d), name)
+        return blocks.error_report(coded, name)
 
     return run
 

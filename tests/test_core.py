@@ -185,3 +185,19 @@ def test_quantiles_of_nearest_rank(spark, monkeypatch, groups):
     for g in range(3):
         own = sorted(v for k, v in rows if k == g)
         assert [got[g][c] for c in "abc"] == [own[int((len(own) - 1) * q + 0.5)] for q in (0.5, 0.99, 0.0)]
+
+
+@pytest.mark.parametrize("name", ["rt_q1_0", "rt_tq1_0", "rt_tq2_0", "rt_q8_k"])
+def test_wide_round_trips_take_missing_vectors(spark, tmp_path, name):
+    import random
+
+    rng = random.Random(8)
+    ids = [i for i in range(90) if i not in (9, 14, 30, 31, 88)]
+    rows = [(i, [rng.gauss(0, 1) for _ in range(64)], i % 10) for i in ids]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    rel = con.sql(oracle()[name])
+    got = QUERIES[name](spark, str(tmp_path)).select(*rel.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(rel.fetchall())
+    assert sum(r["n"] for r in got) == 64 * len(ids)

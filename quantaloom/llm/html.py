@@ -15,8 +15,8 @@ third of all pages is many groups, each of which induces its own wrapper from
 bounded pages; no page is left out.
 
 Trees of any depth and width are read and aligned without recursion: equal subtrees share a shape, pairs of shapes
-are matched once, and long child lists are aligned row by row. Two nodes whose children make more than CELLS pairs of
-different shapes weigh these pairs by the smaller subtree instead of their match.
+are matched once, and long child lists are aligned row by row. Where children make more than CELLS pairs of different
+shapes, one child is matched with all those of the other list at a time, which gives the same sizes and keeps none.
 
 Character references are decoded, white space inside a block becomes one space, and
 blocks join in page order by one space. Null and empty html give an empty text; broken or cut
@@ -29,7 +29,8 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ GROUP, GROUP_BYTES = 256, 8 << 20
 LEAST, SAME = 4, 0.9
 #: More split hosts than this are joined by a shuffle and not by a broadcast.
 BROADCAST_HOSTS = 50_000
-#: Pairs of different shapes that are matched exactly below two nodes; cells of an alignment that are kept at once.
+#: Pairs of different shapes below two nodes whose matches are kept one by one; cells of an alignment that are kept at once.
 CELLS, KEPT = 250_000, 4_000_000
 #: Alignment tables up to so many cells are filled without NumPy.
 SMALL = 400
@@ -211,21 +212,78 @@ class Matcher:
                     self.known[x, y] = 1 + same + (int(last[-1]) if last is not None else 0)
         return self.known[a, b]
 
-    def _weights(self, left: tuple[int, ...], right: tuple[int, ...]) -> dict[int, np.ndarray]:
-        """For each shape on the left the weight of its pair with every element on the right."""
-        few = sorted(set(right))
+    def _kept(self, x: int, y: int) -> int | None:
+        """The size of a match as far as it is known; 0 for two keys."""
+        return 0 if self.keys[x] != self.keys[y] else self.sizes[x] if x == y else self.known.get((x, y))
+
+    def _weights(self, left: tuple[int, ...], right: tuple[int, ...]) -> Callable[[int], np.ndarray | list[int]]:
+        """What gives for a shape on the left the weight of its pair with every element on the right."""
+        some, few = sorted(set(left)), sorted(set(right))
         small = len(left) * len(right) <= SMALL
         place = None if small else np.searchsorted(few, right)
-        exact = len(set(left)) * len(few) <= CELLS
         out = {}
-        for x in set(left):
-            own = [0 if self.keys[x] != self.keys[y] else self.sizes[x] if x == y else self.known[x, y] if exact and (x, y) in self.known else min(self.sizes[x], self.sizes[y]) for y in few]
+        for x in some if len(some) * len(few) <= CELLS else ():
+            own = [self._kept(x, y) for y in few]
+            if None in own:
+                break
             if small:
                 of = dict(zip(few, own, strict=True))
                 out[x] = [of[y] for y in right]
             else:
                 out[x] = np.array(own, np.int32)[place]
-        return out
+        else:
+            if out:
+                return out.__getitem__
+        row = self._matches(some, few)
+        place = np.searchsorted(few, right)
+        return lru_cache(max(1, KEPT // len(right)))(lambda x: row(x)[place].tolist() if small else row(x)[place])
+
+    def _matches(self, left: list[int], right: list[int]) -> Callable[[int], np.ndarray]:
+        """What gives for a shape on the left the sizes of its matches with all shapes on the right."""
+        levels = [(left, right)]
+        while len(levels[-1][0]) * len(levels[-1][1]) > CELLS or len(levels) == 1:
+            levels.append(tuple(sorted({k for x in own for k in self.kids[x]}) for own in levels[-1]))
+        # from the lowest level, whose pairs are few, upward
+        left, right = levels.pop()
+        table = np.array([[0 if self.keys[x] != self.keys[y] else self.size(x, y) for y in right] for x in left], np.int32).reshape(len(left), len(right))
+        while True:
+            row = self._level(table, left, *levels[-1], right)
+            if len(levels) == 1:
+                return row
+            left, right = levels.pop()
+            table = np.array([row(x) for x in left], np.int32).reshape(len(left), len(right))
+
+    def _level(self, table: np.ndarray, inner: list[int], left: list[int], right: list[int], other: list[int]) -> Callable[[int], np.ndarray]:
+        """The same from a table of the matches of all their children (inner of those on the left, other of those on the right)."""
+        at = {x: i for i, x in enumerate(inner)}
+        table = np.pad(table, ((0, 0), (0, 1)))
+        parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+        alike = defaultdict(list)
+        for j, y in enumerate(right):
+            alike[self.keys[y], len(self.kids[y]).bit_length()].append(j)
+        for (key, _), own in alike.items():
+            width = max(len(self.kids[right[j]]) for j in own)
+            step = max(1, (1 << 18) // max(1, width))
+            for k in range(0, len(own), step):
+                some = own[k : k + step]
+                kids = np.full((len(some), width), len(other), np.int64)
+                for n, j in enumerate(some):
+                    kids[n, : len(self.kids[right[j]])] = np.searchsorted(other, self.kids[right[j]])
+                parts[key].append((np.array(some), kids))
+
+        def row(x: int) -> np.ndarray:
+            out = np.zeros(len(right), np.int32)
+            for places, kids in parts.get(self.keys[x], ()):
+                line = np.zeros((kids.shape[0], kids.shape[1] + 1), np.int32)
+                for k in self.kids[x] if kids.shape[1] else ():
+                    own = table[at[k]][kids]
+                    after = line.copy()
+                    np.maximum(after[:, 1:], np.where(own > 0, line[:, :-1] + own, 0), out=after[:, 1:])
+                    line = np.maximum.accumulate(after, axis=1)
+                out[places] = 1 + line[:, -1]
+            return out
+
+        return row
 
     def _rows(self, left: tuple[int, ...], right: tuple[int, ...]) -> Iterator[np.ndarray | list[int]]:
         """The rows of the alignment table after each element on the left, one number longer than right."""
@@ -236,7 +294,7 @@ class Matcher:
             line = [0] * (len(right) + 1)
             for x in left:
                 after = [0]
-                for j, own in enumerate(weights[x]):
+                for j, own in enumerate(weights(x)):
                     after.append(max(after[j], line[j + 1], line[j] + own if own else 0))
                 line = after
                 yield line
@@ -244,7 +302,8 @@ class Matcher:
         row = np.zeros(len(right) + 1, np.int32)
         for x in left:
             after = row.copy()
-            np.maximum(after[1:], np.where(weights[x] > 0, row[:-1] + weights[x], 0), out=after[1:])
+            own = weights(x)
+            np.maximum(after[1:], np.where(own > 0, row[:-1] + own, 0), out=after[1:])
             row = np.maximum.accumulate(after)
             yield row
 

@@ -61,6 +61,41 @@ def test_alignment_is_simple_tree_matching(monkeypatch):
             assert all(x.key == y.key and (x.parent is None or (x.parent, y.parent) in set(pairs)) for x, y in pairs)
 
 
+@pytest.mark.parametrize("cells", [0, 1, 4, 30])
+def test_long_child_lists_are_matched_exactly(monkeypatch, cells):
+    """The match does not depend on how many pairs of different shapes two child lists make."""
+    rng = random.Random(11)
+
+    def some(depth):
+        return "".join(f"<{t}>{some(depth - 1) if depth else 'x'}</{t}>" for t in rng.choices(["div", "b", "i"], k=rng.randint(0, 6)))
+
+    for kept, small in ((html.KEPT, html.SMALL), (3, 0)):
+        for _ in range(40):
+            a, b = some(3), some(3)
+            monkeypatch.undo()
+            want = [(x.key, y.key) for x, y in matched(a, b)[3]]
+            monkeypatch.setattr(html, "CELLS", cells)
+            monkeypatch.setattr(html, "KEPT", kept)
+            monkeypatch.setattr(html, "SMALL", small)
+            matcher, x, y, pairs = matched(a, b)
+            assert len(pairs) == len(want) == matcher.size(x[0].shape, y[0].shape) == largest(x[0], y[0])
+            if kept > 3:
+                assert [(x.key, y.key) for x, y in pairs] == want
+
+
+def test_many_different_children():
+    """Beyond CELLS pairs of different shapes, children weigh by their match and not by their size."""
+    rng = random.Random(5)
+    kids = lambda n: ["<p>" + "".join(f"<{t}>x</{t}>" for t in rng.choices(["b", "i", "u", "em", "q", "s"], k=rng.randint(4, 8))) + "</p>" for _ in range(n)]
+    common = kids(30)
+    left, right = kids(700), kids(800)
+    for k, one in enumerate(common):
+        left.insert(20 * k, one)
+        right.insert(25 * k, one)
+    matcher, a, b, pairs = matched(f"<div>{''.join(left)}</div>", f"<div>{''.join(right)}</div>")
+    assert len(left) * len(right) > html.CELLS and len(pairs) == matcher.size(a[0].shape, b[0].shape)
+
+
 def test_long_lists_and_deep_trees():
     a, b = ("<div>" + "".join(f"<{t}>x</{t}>" for t in random.Random(k).choices(["b", "i", "u"], k=4000)) for k in (1, 2))
     assert len(matched(a, b)[3]) > 2500
